@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_files, toxicity
+from . import bpe, jpeg, reshard, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +16,21 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshard.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.store_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_toxicity, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_resharding, op5_toxicity, op6_jpeg, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
