@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jpeg, reshard, token_files, toxicity
+from . import bpe, jpeg, mixing, quality, reshard, surrogates, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -28,9 +32,24 @@ def op6_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.store_texts(table(spark, sf_dir, "documents"))
 
 
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled table of the mix: of the documents that ``labels`` covers, their language."""
+    known = labels.where("doc_id is not null").select("doc_id").distinct()
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(known, "doc_id", "left_semi")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix_rates(docs, labelled_domains(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_resharding, op5_toxicity, op6_jpeg, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op4_resharding, op5_toxicity, op6_jpeg, op7_mixing, op8_surrogates, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
