@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jpeg, mixing, quality, reshard, surrogates, token_files, toxicity
+from . import bpe, jpeg, lattice, mixing, partenum, quality, reshard, surrogates, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -47,9 +51,13 @@ def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op4_resharding, op5_toxicity, op6_jpeg, op7_mixing, op8_surrogates, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_lattice, op4_resharding, op5_toxicity, op6_jpeg, op7_mixing, op8_surrogates, op9_partenum, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
