@@ -344,14 +344,17 @@ def groups(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are first of their component; see ``groups``.
 
-    Rows with null ids stay only where their component has no other; of repeated ids with
-    equal texts one row stays.
+    An id goes if none of its rows is first; rows without id stay, as nothing names them;
+    of rows with the same id and text one stays. The ids that go are broadcast where a count
+    shows that they are few (8 MB at the most), else joined by a shuffle.
     """
     g = written(groups(docs), "groups")
-    keep = g.where(F.col("doc_id").isNull() & F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    repeated = g.groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
+    gone = g.where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first")).where("first = 0").select("_gone")
+    gone = written(gone, "gone")
+    few = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
+    kept = docs.join(few, docs["doc_id"].cast("long") == few["_gone"], "left_anti")
+    again = g.where("doc_id is not null").groupBy("doc_id", "fingerprint").count().where("count > 1")
+    if again.isEmpty():
         return kept
     order = W.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return kept.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    return kept.withColumn("_row", F.row_number().over(order)).where("_row = 1 or doc_id is null").drop("_row")
