@@ -105,19 +105,67 @@ class PerfectHash:
         return cls(parts[0], parts[1], parts[3], parts[2])
 
 
+#: Probe texts: where a tokenizer fails on one of them, the shorter ways below aren't taken.
+PROBES = ("One two, three.\nFOUR  five", "Größe Ñandú déjà vu.", "a. b, c.d e,f g.. h.,", "it's I'LL <|x|> 12,5 ... -- ñ.", "ÀÉÎÕÜ straße µm ªº", "naïve.Word ok")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class _Words(dict):
-    """Ids (as bytes) of texts without blanks, by the tokenizers library; kept up to a bound."""
+    """Ids (as bytes) of texts without blanks, by the tokenizers library; kept up to a bound.
 
-    def __init__(self, tokenizer, kind: str, most: int = 300_000):
+    A word of Latin-1 letters needs no more than lower case and the byte alphabet before
+    the library's merges, so it goes straight to them; any other goes through the whole
+    tokenizer. ``by_words`` says whether texts may be cut at blanks at all.
+    """
+
+    def __init__(self, tokenizer, kind: str, most: int = 700_000):
         super().__init__()
-        self.tokenizer, self.kind, self.most = tokenizer, kind, most
+        self.tokenizer, self.kind, self.most, self.letters = tokenizer, kind, most, _byte_letters()
+        self.model, self.direct = tokenizer.model, True
+        whole = [self._whole(t) for t in PROBES]
+        try:
+            self.direct = [b"".join(map(self._word, _split(t))) for t in PROBES] == whole
+        except Exception as e:  # the model doesn't know the alphabet: another kind of tokenizer
+            if not isinstance(e, (KeyError, ValueError)):
+                raise
+            self.direct = False
+        self.clear()
+        self.by_words = self.direct or [b"".join(map(self._word, _split(t))) for t in PROBES] == whole
+        self.clear()
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not self.direct:
+            return self._whole(word)
+        end = word[-1:]
+        core = word[:-1] if (end == "." or end == ",") else word
+        if core.isalpha():
+            try:
+                core.encode("latin-1")
+            except UnicodeEncodeError:
+                return self._whole(word)
+            core = core.lower().encode().decode("latin-1").translate(self.letters)
+            got = np.array([t.id for t in self.model.tokenize(core)], self.kind).tobytes()
+            return got + self[end] if len(core) and word[-1] in ".," else got
+        return self._whole(word)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > self.most:
             self.clear()
-        got = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        got = self[word] = self._word(word)
         return got
 
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, _split(text))) if self.by_words else self._whole(text)
+
 
 _TOKENIZERS: dict = {}
 
@@ -151,8 +199,8 @@ def write_token_files(docs: DataFrame, to: str, tokenizer: str | None = None, en
     one range exchange of the texts. Returns a table of rows (doc_id, occurrence, shard,
     n_tokens), kept in the shared folder. Rows with the same id lie next to each other,
     ordered by text and told apart by ``occurrence``. Null texts count as empty: only the
-    end id. An empty table writes nothing. Word by word the ids are those of the whole
-    text, as this kind of tokenizer drops blanks and never joins across them.
+    end id. An empty table writes nothing. Texts are encoded word by word only where the
+    tokenizer drops blanks and never joins across them.
     """
     from tokenizers import Tokenizer
 
@@ -175,7 +223,7 @@ def write_token_files(docs: DataFrame, to: str, tokenizer: str | None = None, en
                 out = store.open_output_stream(name)
             keys.append(x.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False))
             for text in texts(x.column(1)):
-                data = b"".join(map(words.__getitem__, _split(text)))
+                data = words.encode(text)
                 out.write(data)
                 out.write(end)
                 counts.append(len(data) // width + 1)
