@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from .common import batch, components, mixed, partitions, texts, written
 WORDS = 5
 OVER, UNDER = 3, 4  # the similarity 3/4 as a fraction
 CROWD = 12
+#: A set of n features signs n // SLACK parts more than it must; shared passages hide behind fewer.
+SLACK = 6
 _FACTORS = mixed(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _ODD = [np.uint64(int(x)) for x in _FACTORS]
 
@@ -96,147 +99,146 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
     if UNDER * n // OVER >= 2 << bands[0]:
         bands.append(bands[0] + 1)
     # a similar set of the least size signs so many beyond its own differences
-    out, least = [], 3 + (OVER * n + UNDER - 1) // UNDER // 20
+    out, least = [], 1 + (OVER * n + UNDER - 1) // UNDER // SLACK
     k = most_differences(n)
-    wanted = k + 1 + 2 + n // 20
+    wanted = k + 1 + n // SLACK
+    scrambled = mixed(s ^ np.uint64(0x5DEECE66D))
     for b in bands:
         m = parts_of(b)
-        part = (mixed(s + np.uint64(b)) % np.uint64(m)).astype(np.int64)
-        sums = np.zeros(m, np.uint64)
-        np.add.at(sums, part, mixed(s ^ np.uint64(0x5DEECE66D)))
-        full = np.zeros(m, bool)
-        full[part] = True
-        at = np.flatnonzero(full)
+        # parts are ranges of the hash, so those of the sorted set are stretches of it
+        part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+        start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        at = part[start]
         name = np.uint64(b << 40)
         least = min(least, max(1, min(wanted, len(at)) - k))
-        first = at[:wanted]
-        out.append(mixed(sums[first] + mixed(first.astype(np.uint64) + name)))
+        out.append(mixed(np.add.reduceat(scrambled, start)[:wanted] + mixed(at[:wanted] + name)))
         if len(at) <= k:  # similar sets may agree in nothing but parts that are empty in both
-            empty = np.flatnonzero(~full)
-            out.append(mixed(mixed(empty.astype(np.uint64) + name) + np.uint64(1)))
+            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), at)
+            out.append(mixed(mixed(empty + name) + np.uint64(1)))
             least = 1
     return np.concatenate(out).view(np.int64), least
 
 
 _ROW = "sig long, node long, size int, least int"
 _KIND = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("least", pa.int32())])
-MARK = 1 << 30
+DOCUMENT = -1  # in ``least``: the row stands for a document, with its id as ``sig``
 
 
 def _sign(batches):
-    """Rows of signatures, and for each document one that carries its id as ``sig`` and MARK in ``least``.
+    """Of each document a row with its id, fingerprint and size, and of each set its signatures.
 
     A set that the task has seen before doesn't sign again, so copies stay few.
     """
     seen: set[int] = set()
     for x in batches:
-        sigs, nodes, sizes, leasts = [], [], [], []
-        for text in texts(x.column(0)):
+        nodes, sizes, sigs, signed, counts, leasts = [], [], [], [], [], []
+        for text in texts(x.column(1)):
             s = shingles(text)
-            if not len(s):
-                continue
             f = fingerprint(s)
-            if f in seen:
+            nodes.append(f)
+            sizes.append(len(s))
+            if not len(s) or f in seen:
                 continue
             if len(seen) < 2_000_000:
                 seen.add(f)
             got, least = signatures(s)
             sigs.append(got)
-            nodes.append(f)
-            sizes.append(len(s))
+            signed.append((f, len(s)))
+            counts.append(len(got))
             leasts.append(least)
+        yield batch(_KIND, x.column(0), nodes, sizes, [DOCUMENT] * len(nodes))
         if sigs:
-            n = np.array([len(g) for g in sigs])
-            yield batch(_KIND, np.concatenate(sigs), np.repeat(np.array(nodes, np.int64), n), np.repeat(np.array(sizes, np.int32), n), np.repeat(np.array(leasts, np.int32), n))
-
-
-_FOUND = "a long, b long, n int, least int, hot boolean"
-_FOUND_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("least", pa.int32()), ("hot", pa.bool_())])
-
-
-def _meet(batches):
-    """Rows sorted by signature and node. Of a signature that up to CROWD sets share, all pairs of fitting
-    sizes, counted; of any other, hot rows: (signature, node, size, least)."""
-    pairs: list[np.ndarray] = []
-    held = 0
-    last = (np.zeros(0, np.int64),) * 4
-    hot_now: int | None = None  # a crowded signature that goes on in the next batch
-
-    def fold():
-        nonlocal pairs, held
-        p = np.concatenate(pairs)
-        order = np.lexsort((p[:, 1], p[:, 0]))
-        p = p[order]
-        first = np.concatenate([[True], (p[1:, :2] != p[:-1, :2]).any(1)])
-        at = np.flatnonzero(first)
-        n = np.add.reduceat(p[:, 2], at)
-        p = p[at]
-        p[:, 2] = n
-        pairs, held = [p], len(p)
-
-    def out(p):
-        return batch(_FOUND_SCHEMA, p[:, 0], p[:, 1], p[:, 2].astype(np.int32), p[:, 3].astype(np.int32), np.zeros(len(p), bool))
-
-    def hot_rows(cols, which):
-        return batch(_FOUND_SCHEMA, cols[0][which], cols[1][which], cols[2][which].astype(np.int32), cols[3][which].astype(np.int32), np.ones(int(which.sum()), bool))
-
-    def work(cols, final):
-        """Handles whole signatures; returns the rows of the last one, which may go on."""
-        nonlocal held, hot_now
-        sig, node, size, least = cols
-        emitted = []
-        if hot_now is not None and len(sig):
-            going = sig == hot_now
-            if going.any():
-                emitted.append(hot_rows(cols, going))
-                cols = tuple(c[~going] for c in cols)
-                sig, node, size, least = cols
-            if len(sig):
-                hot_now = None
-        if not len(sig):
-            return cols, emitted
-        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        lengths = np.diff(np.concatenate([starts, [len(sig)]]))
-        keep = len(starts) if final else len(starts) - 1
-        rest = slice(starts[keep], None) if keep < len(starts) else slice(len(sig), None)
-        run = np.repeat(np.arange(len(starts)), lengths)
-        long = (lengths > CROWD)[run] & (run < keep)
-        if long.any():
-            emitted.append(hot_rows(cols, long))
+            n = np.array(counts)
+            who = np.array(signed, np.int64)
+            yield batch(_KIND, np.concatenate(sigs), np.repeat(who[:, 0], n), np.repeat(who[:, 1].astype(np.int32), n), np.repeat(np.array(leasts, np.int32), n))
+
+
+PAIR, CROWDED, OWN = 0, 1, 2
+_FOUND = "kind int, a long, b long, n int, least int, center long, center_size int"
+_FOUND_SCHEMA = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("least", pa.int32()), ("center", pa.int64()), ("center_size", pa.int32())])
+
+
+class _Meeting:
+    """Takes rows sorted by signature and node. Of a signature that up to CROWD sets share it gives all pairs
+    of fitting sizes, with how often they met; of any other a row a set, with the first set as its center."""
+
+    def __init__(self):
+        self.rest = np.zeros((0, 4), np.int64)  # rows of a signature that may go on
+        self.going: tuple[int, int, int] | None = None  # (signature, center, its size) of a crowd that may go on
+        self.pairs, self.held = [], 0
+
+    @staticmethod
+    def _out(kind, a, b, n, least, center, size):
+        k = len(a)
+        return batch(_FOUND_SCHEMA, np.full(k, kind, np.int32), a, b, n.astype(np.int32), least.astype(np.int32), np.broadcast_to(np.asarray(center, np.int64), k), np.broadcast_to(np.asarray(size, np.int32), k))
+
+    def _crowd(self, rows, center, size):
+        return self._out(CROWDED, rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3], center, size)
+
+    def fold(self, all_: bool):
+        """Adds up the pairs so far; gives them out if they're many, or all."""
+        p = np.concatenate(self.pairs) if self.pairs else np.zeros((0, 4), np.int64)
+        if len(p):
+            p = p[np.lexsort((p[:, 1], p[:, 0]))]
+            at = np.flatnonzero(np.concatenate([[True], (p[1:, :2] != p[:-1, :2]).any(1)]))
+            n = np.add.reduceat(p[:, 2], at)
+            p = p[at]
+            p[:, 2] = n
+        self.pairs, self.held = [p], len(p)
+        if all_ or len(p) > 500_000:
+            self.pairs, self.held = [], 0
+            yield self._out(PAIR, p[:, 0], p[:, 1], p[:, 2], p[:, 3], 0, 0)
+
+    def take(self, rows: np.ndarray, final: bool):
+        rows = np.concatenate([self.rest, rows])
+        if self.going is not None and len(rows):
+            more = rows[:, 0] == self.going[0]
+            if more.any():
+                yield self._crowd(rows[more], *self.going[1:])
+                rows = rows[~more]
+            if len(rows):
+                self.going = None
+        if len(rows):  # a set that signed in several tasks is there once
+            rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])]
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) if len(rows) else np.zeros(0, np.int64)
+        lengths = np.diff(np.concatenate([starts, [len(rows)]]))
+        whole = len(starts) if final else max(len(starts) - 1, 0)
+        big = np.flatnonzero(lengths[:whole] > CROWD)
+        if len(big):
+            at = np.repeat(starts[big], lengths[big])
+            which = at + np.arange(len(at)) - np.repeat(np.cumsum(lengths[big]) - lengths[big], lengths[big])
+            yield self._crowd(rows[which], rows[at, 1], rows[at, 2])
         for k in range(2, CROWD + 1):
-            these = starts[:keep][lengths[:keep] == k]
+            these = starts[:whole][lengths[:whole] == k]
             if len(these):
                 at = these[:, None] + np.arange(k)
                 i, j = np.triu_indices(k, 1)
-                l, r = at[:, i].ravel(), at[:, j].ravel()
-                fits = OVER * np.maximum(size[l], size[r]) <= UNDER * np.minimum(size[l], size[r])
+                l, r = rows[at[:, i].ravel()], rows[at[:, j].ravel()]
+                fits = OVER * np.maximum(l[:, 2], r[:, 2]) <= UNDER * np.minimum(l[:, 2], r[:, 2])
                 l, r = l[fits], r[fits]
-                pairs.append(np.stack([node[l], node[r], np.ones(len(l), np.int64), np.maximum(least[l], least[r])], 1))
-                held += len(l)
-        left = tuple(c[rest] for c in cols)
-        if len(left[0]) > 4 * CROWD:
-            hot_now = int(left[0][0])
-            emitted.append(hot_rows(left, np.ones(len(left[0]), bool)))
-            left = tuple(c[:0] for c in left)
-        return left, emitted
+                self.pairs.append(np.stack([l[:, 1], r[:, 1], np.ones(len(l), np.int64), np.maximum(l[:, 3], r[:, 3])], 1))
+                self.held += len(l)
+        self.rest = rows[starts[whole] :] if whole < len(starts) else rows[:0]
+        if len(self.rest) > 4 * CROWD:
+            self.going = tuple(self.rest[0, :3].tolist())
+            yield self._crowd(self.rest, *self.going[1:])
+            self.rest = self.rest[:0]
+        if self.held > 1_000_000:
+            yield from self.fold(False)
+
 
+def _meet(batches):
+    meeting = _Meeting()
     for x in batches:
-        now = tuple(x.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
-        now = tuple(np.concatenate([a, b]) for a, b in zip(last, now, strict=True))
-        # a set that signed in several tasks is there once
-        again = np.concatenate([[False], (now[0][1:] == now[0][:-1]) & (now[1][1:] == now[1][:-1])]) if len(now[0]) else np.zeros(0, bool)
-        last, emitted = work(tuple(c[~again] for c in now), False)
-        yield from emitted
-        if held > 1_000_000:
-            fold()
-            if held > 500_000:
-                yield out(pairs[0])
-                pairs, held = [], 0
-    _, emitted = work(last, True)
-    yield from emitted
-    if pairs:
-        fold()
-        yield out(pairs[0])
+        own = pc.equal(x.column(3), DOCUMENT)
+        mine, x = x.filter(own), x.filter(pc.invert(own))
+        if mine.num_rows:
+            k, none = mine.num_rows, np.zeros(mine.num_rows, np.int64)
+            yield batch(_FOUND_SCHEMA, np.full(k, OWN, np.int32), mine.column(0), mine.column(1), mine.column(2), mine.column(3), none, none.astype(np.int32))
+        if x.num_rows:
+            yield from meeting.take(np.stack([x.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], 1), False)
+    yield from meeting.take(np.zeros((0, 4), np.int64), True)
+    yield from meeting.fold(True)
 
 
 _SET = pa.schema([("node", pa.int64()), ("features", pa.binary())])
@@ -272,17 +274,33 @@ def _verify(batches):
 MOST_BROADCAST = 1_000_000
 
 
-def _verified(text: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Only texts of nodes in pairs travel."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-nodes")
-    n = ids.count()
-    few = F.broadcast(ids) if n <= MOST_BROADCAST else ids  # 8 MB of ids at the most
-    sets = written(text.mapInArrow(_sets, "node long, features binary").join(few, "node", "left_semi").dropDuplicates(["node"]), "sets")
+def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, features) of the wanted nodes, from one document of each; no other text is read into a set.
+
+    The ids of those documents are broadcast where a count shows at most ``MOST_BROADCAST``
+    (8 MB), else joined by a shuffle.
+    """
+    chosen = written(wanted.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("id")), "chosen")
+    ids = chosen.where("id is not null").select("id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    some = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
+    if not chosen.where("id is null").isEmpty():  # sets that only rows without an id have
+        some = some.union(docs.where("doc_id is null"))
+    sets = some.select("text").mapInArrow(_sets, "node long, features binary").join(chosen.select("node"), "node", "left_semi")
+    return written(sets.dropDuplicates(["node"]), "sets")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
     one = sets.select(F.col("node").alias("a"), F.col("features").alias("s"))
     two = sets.select(F.col("node").alias("b"), F.col("features").alias("t"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_verify, "u long, v long")
 
 
+def _fit(a: str, b: str) -> F.Column:
+    return F.greatest(a, b) * OVER <= F.least(a, b) * UNDER
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and fingerprint of every row of ``docs``.
 
@@ -290,50 +308,46 @@ def groups(docs: DataFrame) -> DataFrame:
     none. Null, empty and blank texts have an empty set and link with nothing. Repeated rows
     are equal sets. Extra columns are ignored; an empty table gives none.
 
-    The signatures travel once (sorted, spillable); candidates and what is left of crowded
-    signatures are written to the shared folder. In crowded ones each node first meets
-    the least node, which settles a group of near copies in as many comparisons as it has
-    members; only nodes of components that stay apart are compared further.
+    The signatures travel once (sorted, spillable); candidates and the crowded signatures
+    are written to the shared folder. A set stays in crowds only if it has so many crowded
+    signatures that a similar set may share no other. There each set first meets the
+    crowd's center, which settles a group of near copies in one comparison a set; only
+    crowds whose sets are still in different components are compared pair by pair.
     """
-    spark = docs.sparkSession
-    text = docs.select(F.col("text").cast("string").alias("text"))
-
-    def facts(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
-        for x in batches:
-            got = [shingles(t) for t in texts(x.column(1))]
-            yield batch(schema, x.column(0), [len(s) for s in got], [fingerprint(s) for s in got])
-
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nodes = written(every.mapInArrow(facts, "doc_id long, n_shingles long, node long"), "nodes")
-    signed = text.mapInArrow(_sign, _ROW)
-    n = partitions(spark, text, 2)
-    met = written(signed.repartition(n, "sig").sortWithinPartitions("sig", "node").mapInArrow(_meet, _FOUND), "met")
-    hot = met.where("hot").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.col("n").alias("size"), "least").distinct()
-    crowd = written(hot.groupBy("node").agg(F.count("*").alias("crowded"), F.max("size").alias("size"), F.max("least").alias("least")), "crowd")
-    # a pair shares ``least`` signatures; those that aren't in pairs here are crowded in both
-    cold = met.where("not hot").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least"))
-    c = crowd.select("node", "crowded")
-    cold = cold.join(c.select(F.col("node").alias("a"), F.col("crowded").alias("ca")), "a", "left").join(c.select(F.col("node").alias("b"), F.col("crowded").alias("cb")), "b", "left")
-    cold = cold.where(F.col("n") + F.coalesce(F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0))), F.lit(0)) >= F.col("least")).select("a", "b")
-    # in crowds only sets that may share nothing but crowded signatures
-    full = crowd.where("crowded >= least").select("node")
-    hot = written(hot.join(full, "node", "left_semi").select("sig", "node", "size"), "hot")
-    least_node = hot.groupBy("sig").agg(F.min(F.struct("node", "size")).alias("m"))
-    stars = hot.join(least_node, "sig").select(F.col("m.node").alias("a"), F.col("node").alias("b"), F.col("m.size").alias("sa"), F.col("size").alias("sb")).where("a < b")
-    stars = stars.where(F.greatest("sa", "sb") * OVER <= F.least("sa", "sb") * UNDER).select("a", "b")
-    links = written(_verified(text, written(cold.union(stars).distinct(), "pairs")), "links")
-    if not hot.isEmpty():
+    n = partitions(docs.sparkSession, every, 2)
+    signed = every.mapInArrow(_sign, _ROW).repartition(n, F.coalesce("sig", "node")).sortWithinPartitions("sig", "node")
+    met = written(signed.mapInArrow(_meet, _FOUND), "met")
+    nodes = met.where(f"kind = {OWN}").select(F.col("a").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("b").alias("node"))
+    # a set has few signatures, so a window over it is small whatever the crowds are
+    mine = W.partitionBy("node")
+    crowds = met.where(f"kind = {CROWDED}").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.col("n").alias("size"), "least", "center", "center_size").distinct()
+    crowds = written(crowds.withColumn("crowded", F.count(F.lit(1)).over(mine)), "crowds")
+    c = crowds.groupBy("node").agg(F.max("crowded").alias("crowded"))
+    pairs = written(met.where(f"kind = {PAIR}").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least")), "pairs")
+    cold = pairs.join(c.select(F.col("node").alias("a"), F.col("crowded").alias("ca")), "a", "left").join(c.select(F.col("node").alias("b"), F.col("crowded").alias("cb")), "b", "left")
+    # a similar pair shares ``least`` signatures; those that don't count here are crowded for both
+    cold = cold.where(F.col("n") + F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0))) >= F.col("least")).select("a", "b")
+    full = crowds.where("crowded >= least")
+    stars = full.where("center <> node").where(_fit("size", "center_size")).select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b"))
+    pairs_now = written(cold.union(stars).distinct(), "candidates")
+    wanted = pairs_now.select(F.explode(F.array("a", "b")).alias("node")).union(full.select("node")).distinct()
+    sets = _sets_of(every, nodes, wanted)
+    links = written(_verified(sets, pairs_now), "links")
+    if not full.isEmpty():
         roots = components(links)
-        at = hot.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = at.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-        at = written(at.join(apart, "sig", "left_semi"), "apart")
-        l = at.select("sig", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"))
-        r = at.select("sig", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb"))
-        more = l.join(r, "sig").where("a < b and ra <> rb").where(F.greatest("sa", "sb") * OVER <= F.least("sa", "sb") * UNDER).select("a", "b").distinct()
-        more = written(more, "more")
-        if not more.isEmpty():
-            links = written(links.union(_verified(text, more)), "links")
+        # crowds that aren't one component: some set isn't in its center's
+        ray = full.select("center", "node").distinct().join(roots, "node", "left").select("center", "node", F.coalesce("root", "node").alias("x"))
+        ray = ray.join(roots.select(F.col("node").alias("center"), "root"), "center", "left").where(F.col("x") != F.coalesce("root", "center")).select("center", "node")
+        apart = written(full.join(ray, ["center", "node"], "left_semi").select("sig").distinct(), "apart")
+        if not apart.isEmpty():
+            at = full.join(apart, "sig", "left_semi").join(roots, "node", "left").select("sig", "node", "size", "least", F.coalesce("root", "node").alias("root"))
+            at = written(at, "apart-sets")
+            l, r = (at.select("sig", *[F.col(x).alias(f"{x}_{k}") for x in ("node", "size", "least", "root")]) for k in "ab")
+            more = l.join(r, "sig").where("node_a < node_b and root_a <> root_b").where(_fit("size_a", "size_b"))
+            more = more.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("shared"), F.greatest(F.max("least_a"), F.max("least_b")).alias("bound"))
+            more = more.join(pairs.select("a", "b", "n"), ["a", "b"], "left").where(F.col("shared") + F.coalesce("n", F.lit(0)) >= F.col("bound"))
+            links = written(links.union(_verified(sets, written(more.select("a", "b"), "more"))), "links")
     roots = components(links)
     named = nodes.join(roots, "node", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
     # empty sets are components of their own
