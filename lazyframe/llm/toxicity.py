@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import batch, crc_of_id, texts
 
 WORD = re.compile(r"\w+")
+SENTENCE = re.compile(r"[.!?\n]")
 #: Marks of quotation and words of reporting in the four languages.
 QUOTES = "\"“”„«»‘’"
 REPORTING = frozenset("said says quote quoted wrote called term word sagte sagt wort zitat dit disait mot cité dijo dice palabra cita".split())
@@ -132,9 +133,9 @@ def spans(text: str, machine: Machine) -> list[tuple[int, int, float, int, bool]
     out = []
     for m in WORD.finditer(low):
         if m[0] in hits:
-            left, right = low[max(0, m.start() - WINDOW) : m.start()], low[m.end() : m.end() + WINDOW]
+            left, right = SENTENCE.split(low[max(0, m.start() - WINDOW) : m.start()])[-1], SENTENCE.split(low[m.end() : m.end() + WINDOW])[0]
             marks = any(c in QUOTES for c in left) and any(c in QUOTES for c in right)
-            told = not REPORTING.isdisjoint(WORD.findall(left)[-4:])
+            told = not REPORTING.isdisjoint(WORD.findall(left)[-3:])
             out.append((m.start(), m.end(), *hits[m[0]], marks or told))
     return out
 
