@@ -115,17 +115,20 @@ class Mix:
         return p, n, rates(p, self.history, self.step, self.pull)[0]
 
 
-def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, pull: float = 1e-3, most_rounds: int = 60, tolerance: float = 1e-4) -> Mix:
-    """``weights``: domain -> share wanted (summing to 1); without it ``temperature_targets`` of the present shares."""
+def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, pull: float = 1e-3, most_rounds: int = 60, tolerance: float = 1e-4) -> tuple[Mix, DataFrame]:
+    """The mix, and (doc_id, chance, n, p) of every row, kept in the shared folder.
+
+    ``weights``: domain -> share wanted (summing to 1); without it ``temperature_targets`` of the present shares."""
     classifier = learn_classifier(docs, labelled)
     k = len(classifier.domains)
 
     def run(batches):
         for x in batches:
-            p, n = classifier.posteriors(texts(x.column(0)))
-            yield batch(pa.schema([("n", pa.int64()), ("p", pa.list_(pa.float64()))]), n, list(p))
+            p, n = classifier.posteriors(texts(x.column(1)))
+            yield batch(pa.schema([("doc_id", pa.int64()), ("chance", pa.float64()), ("n", pa.int64()), ("p", pa.list_(pa.float64()))]), x.column(0), x.column(2), n, list(p))
 
-    table = written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n long, p array<double>"), "posteriors")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("chance", _chance())
+    table = written(d.mapInArrow(run, "doc_id long, chance double, n long, p array<double>"), "posteriors")
 
     def sums(history: list, step: float) -> np.ndarray:
         """Tokens in all, then the domains' tokens at the present point."""
@@ -139,7 +142,7 @@ def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | No
                 total[1:] += (n * rates(p, history, step, pull)[1]) @ p
             yield batch(pa.schema([("x", pa.list_(pa.float64()))]), [total])
 
-        rows = table.mapInArrow(run, "x array<double>").collect()  # k + 1 numbers a task
+        rows = table.select("n", "p").mapInArrow(run, "x array<double>").collect()  # k + 1 numbers a task
         return np.sum([r[0] for r in sorted(rows)], axis=0) if rows else np.zeros(k + 1)
 
     start = sums([], 0.0)
@@ -160,7 +163,7 @@ def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | No
         history.append((at - targets, (t - 1) / new))
         t = new
         at = sums(history, step)[1:] / tokens
-    return Mix(classifier, targets, history, step, pull, at)
+    return Mix(classifier, targets, history, step, pull, at), table
 
 
 def _chance() -> F.Column:
@@ -176,22 +179,21 @@ def mix_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] |
     null ids are rows like others; an empty table, or a labelled one without a usable row,
     can't be mixed and raises ValueError (an empty ``docs`` with labels gives no row).
     """
-    mix = fit_mix(docs, labelled, weights)
+    mix, table = fit_mix(docs, labelled, weights)
 
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("domain", pa.string()), ("posterior", pa.list_(pa.float64())), ("rate", pa.float64()), ("chance", pa.float64())])
         for x in batches:
-            p, n, r = mix.of(texts(x.column(1)))
-            yield batch(schema, x.column(0), n, [mix.classifier.domains[k] for k in p.argmax(1)], list(p), r, x.column(2))
+            p = x.column(3).flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, len(mix.classifier.domains))
+            yield batch(schema, x.column(0), x.column(2), [mix.classifier.domains[k] for k in p.argmax(1)], x.column(3), rates(p, mix.history, mix.step, mix.pull)[0], x.column(1))
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("chance", _chance())
-    out = d.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior array<double>, rate double, chance double")
+    out = table.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior array<double>, rate double, chance double")
     return out.withColumn("copies", (F.floor("rate") + (F.col("chance") < F.col("rate") - F.floor("rate")).cast("long")).cast("int")).drop("chance")
 
 
 def mixed_documents(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as its copies say; see ``mix_rates``."""
-    mix = fit_mix(docs, labelled, weights)
+    mix, _ = fit_mix(docs, labelled, weights)
 
     @F.pandas_udf("double")
     def rate(text):
