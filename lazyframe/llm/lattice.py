@@ -110,8 +110,8 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, size: int | None = N
         size = first[0] if first else 1
     known = v.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     lattice = Lattice(size, tables)
-    cells = "key long, vec_id long, embedding array<double>"
-    cell_schema = pa.schema([("key", pa.int64()), ("vec_id", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+    cells = "key long, vec_id long"
+    cell_schema = pa.schema([("key", pa.int64()), ("vec_id", pa.int64())])
 
     def enter(batches):
         for x in batches:
@@ -123,15 +123,13 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, size: int | None = N
                     continue
                 ids = part.column(0).to_numpy(zero_copy_only=False)[rows]
                 keys = lattice.keys(u).reshape(len(u), -1)
-                at = np.repeat(np.arange(len(u)), keys.shape[1])
-                whole = part.column(1).take(pa.array(rows[at]))
-                yield batch(cell_schema, keys.ravel(), ids[at], whole)
+                yield batch(cell_schema, keys.ravel(), np.repeat(ids, keys.shape[1]))
 
     n = partitions(spark, v)
-    entered = known.mapInArrow(enter, cells)
+    entered = written(known.mapInArrow(enter, cells), "entered")
     # cells without company are dropped before the vectors travel on
-    sizes = written(entered.groupBy("key").count().where("count > 1"), "cells")
-    placed = entered.join(sizes, "key")
+    sizes = entered.groupBy("key").count().where("count > 1")
+    placed = entered.join(sizes, "key").join(known, "vec_id")
     parts = F.ceil(F.col("count") / F.lit(MOST_IN_TASK / 2)).cast("int")
     mine = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
     split = placed.withColumn("parts", F.when(F.col("count") > MOST_IN_TASK, parts).otherwise(1)).withColumn("mine", mine)
@@ -146,8 +144,10 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, size: int | None = N
             key, a, b = held[0][0]
             ids = np.concatenate([h[1] for h in held])
             block = np.concatenate([h[2] for h in held])
-            x, _ = unit(pa.concat_arrays([h[3] for h in held]))
-            keys = lattice.keys(x).reshape(len(x), -1)
+            x = np.concatenate([h[3].flatten().to_numpy(zero_copy_only=False) for h in held]).reshape(len(ids), -1)
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            keys = None
             left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
             counts, us, vs = np.zeros(len(ids), np.int64), [], []
             for s in range(0, len(left), 512):
@@ -155,6 +155,8 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, size: int | None = N
                 i, j = left[s + i], right[j]
                 use = i < j if a == b else np.ones(len(i), bool)
                 i, j = i[use], j[use]
+                if len(i) and keys is None:  # most cells hold no link and need none of this
+                    keys = lattice.keys(x).reshape(len(x), -1)
                 for q in range(0, len(i), 20_000):
                     p, r = i[q : q + 20_000], j[q : q + 20_000]
                     earlier = np.zeros(len(p), bool)
@@ -180,7 +182,15 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, size: int | None = N
             if len(node):
                 roots[hit] = root[order][at[hit]]
             some = (counts > 0) | (roots != ids)
-            return batch(schema, ids[some], counts[some], roots[some])
+            if some.any():
+                results.append((ids[some], counts[some], roots[some]))
+
+        results: list = []
+
+        def ready():
+            if results:
+                yield batch(schema, *(np.concatenate(c) for c in zip(*results, strict=True)))
+                results.clear()
 
         for x in batches:
             cell = np.stack([x.column(k).to_numpy(zero_copy_only=False) for k in range(3)], 1)
@@ -188,11 +198,13 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, size: int | None = N
             for s, e in zip(starts, [*starts[1:], len(cell)], strict=True):
                 name = tuple(cell[s].tolist())
                 if held and held[0][0] != name:
-                    yield out(*done())
+                    out(*done())
                     held = []
                 held.append((name, x.column(4).to_numpy(zero_copy_only=False)[s:e], x.column(3).to_numpy(zero_copy_only=False)[s:e], x.column(5).slice(s, e - s)))
+            yield from ready()
         if held:
-            yield out(*done())
+            out(*done())
+        yield from ready()
 
     dealt = split.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b")
     found = written(dealt.mapInArrow(compare, "vec_id long, n long, root long"), "links")
