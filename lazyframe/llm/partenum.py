@@ -297,6 +297,78 @@ def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_verify, "u long, v long")
 
 
+def _features(batches):
+    schema = pa.schema([("f", pa.int64()), ("node", pa.int64())])
+    for x in batches:
+        sets = [np.frombuffer(s, np.int64) for s in x.column(1).to_pylist()]
+        if sets:
+            yield batch(schema, np.concatenate(sets), np.repeat(x.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets]))
+
+
+_PARTED = "f long, node long, size int, root long, common array<long>, rest int"
+_PARTED_SCHEMA = pa.schema([("f", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("root", pa.int64()), ("common", pa.list_(pa.int64())), ("rest", pa.int32())])
+
+
+def _parted(batches):
+    """Of (node, size, root, features, common): a row for each uncommon feature that a similar set may share first,
+    and of a set that common features alone can make similar a row with these and their fingerprint."""
+    for x in batches:
+        rows = []
+        for node, size, root, features, common in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            features, common = np.frombuffer(features, np.int64), np.array(common or [], np.int64)
+            rare = np.setdiff1d(features, common, assume_unique=True)
+            rows += [(f, node, size, root, None, None) for f in np.sort(rare)[: size * (UNDER - OVER) // UNDER + 1].tolist()]
+            if UNDER * len(common) >= OVER * size:
+                rows.append((fingerprint(np.sort(common.view(np.uint64))), node, size, root, common, size - len(common)))
+        if rows:
+            yield batch(_PARTED_SCHEMA, *zip(*rows, strict=True))
+
+
+def _meeting_apart(rows: DataFrame, side: str, *names: str) -> DataFrame:
+    """Pairs of ``rows`` with equal ``f`` and different ``side``; rows of one side never meet, however many they are."""
+    sides = rows.select("f", side).distinct()
+    met = sides.withColumnRenamed(side, "side_a").join(sides.withColumnRenamed(side, "side_b"), "f").where("side_a < side_b")
+    for k in "ab":
+        met = met.join(rows.select("f", F.col(side).alias(f"side_{k}"), *[F.col(x).alias(f"{x}_{k}") for x in names]), ["f", f"side_{k}"])
+    return met
+
+
+def _apart_pairs(sets: DataFrame, at: DataFrame) -> DataFrame:
+    """Candidates (a, b) among the sets ``at`` (node, size, root) of crowds; with the links so far they connect all that similar pairs connect.
+
+    A feature is common if more than ``CROWD`` of these sets hold it. Of a similar pair that
+    shares uncommon features, the first of them is among the first quarter of either's; so few
+    hold it that its pairs are listed. The others share common features only. Sets with equal
+    common features (a class) are then as similar as their other features are few, so each
+    set meets the one of its class that has the fewest, and that of each class
+    whose common features are similar to its own.
+    """
+    own = sets.join(at, "node").select("node", "size", "root", "features")
+    common = written(own.select("node", "features").mapInArrow(_features, "f long, node long").groupBy("f").count().where(F.col("count") > CROWD).select("f"), "common")
+    few = F.broadcast(common) if common.count() <= MOST_BROADCAST else common
+    held = own.select("node", "features").mapInArrow(_features, "f long, node long").join(few, "f").groupBy("node").agg(F.sort_array(F.collect_list("f")).alias("common"))
+    parted = written(own.join(held, "node", "left").mapInArrow(_parted, _PARTED), "parted")
+    rare = parted.where("rest is null").select("f", "node", "size", "root")
+    rare = _meeting_apart(rare, "root", "node", "size").where(_fit("size_a", "size_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    heavy = parted.where("rest is not null").withColumnRenamed("f", "class")
+    classes = heavy.groupBy("class").agg(F.min_by(F.struct("node", "root"), F.struct("rest", "node")).alias("best"), F.min("rest").alias("rest"), F.first("common").alias("common"), F.min("root").alias("low"), F.max("root").alias("high"))
+    # a class within one component has that as its side
+    classes = written(classes.select("class", F.col("best.node").alias("best"), F.col("best.root").alias("best_root"), "rest", "common", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("class")).alias("side")), "classes")
+    stars = heavy.select("class", "node", "root").join(classes.select("class", "best", "best_root"), "class").where("root <> best_root").select("node", "best")
+    each = classes.select("class", F.explode("common").alias("f"))
+    first = each.join(each.groupBy("f").count(), "f").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("count", "f"))).alias("o"))
+    first = first.select("class", F.explode(F.expr(f"slice(o.f, 1, cast(size(o) * {UNDER - OVER} div {UNDER} as int) + 1)")).alias("f")).join(classes.select("class", "side"), "class")
+    near = _meeting_apart(first, "side", "class").select("class_a", "class_b").distinct()
+    for k in "ab":
+        near = near.join(classes.select(*[F.col(x).alias(f"{x}_{k}") for x in ("class", "best", "rest", "common")]), f"class_{k}")
+    near = near.withColumn("both", F.size(F.array_intersect("common_a", "common_b")))
+    enough = f"{OVER + UNDER} * both >= {OVER} * "
+    near = written(near.where(enough + "(size(common_a) + size(common_b) + rest_a + rest_b)").select("class_a", "class_b", "best_a", "best_b", "both", F.expr("size(common_a) + rest_a").alias("size_a"), F.expr("size(common_b) + rest_b").alias("size_b")), "near")
+    across = [heavy.select(F.col("class").alias(f"class_{k}"), "node", "size").join(near, f"class_{k}").where(enough + f"(size + size_{o})").select("node", F.col(f"best_{o}").alias("best")) for k, o in ("ab", "ba")]
+    rest = stars.union(across[0]).union(across[1]).select(F.least("node", "best").alias("a"), F.greatest("node", "best").alias("b"))
+    return written(rare.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(rest).distinct(), "more")
+
+
 def _fit(a: str, b: str) -> F.Column:
     return F.greatest(a, b) * OVER <= F.least(a, b) * UNDER
 
@@ -312,7 +384,8 @@ def groups(docs: DataFrame) -> DataFrame:
     are written to the shared folder. A set stays in crowds only if it has so many crowded
     signatures that a similar set may share no other. There each set first meets the
     crowd's center, which settles a group of near copies in one comparison a set; only
-    crowds whose sets are still in different components are compared pair by pair.
+    crowds whose sets are still in different components are compared further, see
+    ``_apart_pairs``.
     """
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = partitions(docs.sparkSession, every, 2)
@@ -341,13 +414,8 @@ def groups(docs: DataFrame) -> DataFrame:
         ray = ray.join(roots.select(F.col("node").alias("center"), "root"), "center", "left").where(F.col("x") != F.coalesce("root", "center")).select("center", "node")
         apart = written(full.join(ray, ["center", "node"], "left_semi").select("sig").distinct(), "apart")
         if not apart.isEmpty():
-            at = full.join(apart, "sig", "left_semi").join(roots, "node", "left").select("sig", "node", "size", "least", F.coalesce("root", "node").alias("root"))
-            at = written(at, "apart-sets")
-            l, r = (at.select("sig", *[F.col(x).alias(f"{x}_{k}") for x in ("node", "size", "least", "root")]) for k in "ab")
-            more = l.join(r, "sig").where("node_a < node_b and root_a <> root_b").where(_fit("size_a", "size_b"))
-            more = more.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("shared"), F.greatest(F.max("least_a"), F.max("least_b")).alias("bound"))
-            more = more.join(pairs.select("a", "b", "n"), ["a", "b"], "left").where(F.col("shared") + F.coalesce("n", F.lit(0)) >= F.col("bound"))
-            links = written(links.union(_verified(sets, written(more.select("a", "b"), "more"))), "links")
+            at = full.join(apart, "sig", "left_semi").select("node", "size").distinct().join(roots, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"))
+            links = written(links.union(_verified(sets, _apart_pairs(sets, written(at, "apart-sets")))), "links")
     roots = components(links)
     named = nodes.join(roots, "node", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
     # empty sets are components of their own

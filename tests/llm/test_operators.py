@@ -242,6 +242,33 @@ def test_partenum_against_brute_force(spark, odd, none):
     assert pe.groups(none).count() == 0 and pe.one_of_each(odd).count() == 6
 
 
+def test_partenum_of_texts_that_are_mostly_a_common_passage(spark):
+    """Crowds that no center settles: pairs by uncommon shingles, and classes of equal common ones."""
+    from lazyframe.llm import partenum as pe
+
+    r = random.Random(1)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    p, q, texts = words(60), words(40), []
+    for _ in range(240):
+        w = r.choice([p, q, p + q, p[:50], q + p]) + words(r.choice([0, 2, 5, 8, 12, 16, 20, 30]))
+        texts.append((words(r.choice([1, 4, 9])) if r.random() < 0.3 else []) + w)
+    for _ in range(100):
+        w = list(r.choice(texts))
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = words(1)[0]
+        texts.append(w)
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in enumerate(texts)}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    seen, real = [], pe._apart_pairs
+    pe._apart_pairs = lambda sets, at: seen.append(at) or real(sets, at)
+    try:
+        got = {x.doc_id: x.component_id for x in pe.groups(docs).collect()}
+    finally:
+        pe._apart_pairs = real
+    assert seen and got == brute_components(list(sets), linked)
+
+
 def test_lattice_against_brute_force(spark):
     from lazyframe.llm import lattice
 
