@@ -357,7 +357,8 @@ def _apart_pairs(sets: DataFrame, at: DataFrame) -> DataFrame:
     stars = heavy.select("class", "node", "root").join(classes.select("class", "best", "best_root"), "class").where("root <> best_root").select("node", "best")
     each = classes.select("class", F.explode("common").alias("f"))
     first = each.join(each.groupBy("f").count(), "f").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("count", "f"))).alias("o"))
-    first = first.select("class", F.explode(F.expr(f"slice(o.f, 1, cast(size(o) * {UNDER - OVER} div {UNDER} as int) + 1)")).alias("f")).join(classes.select("class", "side"), "class")
+    # a pair's common features alone must reach 3/4 of the whole set, so the more others it has, the fewer of them may be missing
+    first = first.join(classes.select("class", "side", "rest"), "class").select("class", "side", F.explode(F.expr(f"slice(o.f, 1, cast((size(o) * {UNDER - OVER} - rest * {OVER}) div {UNDER} as int) + 1)")).alias("f"))
     near = _meeting_apart(first, "side", "class").select("class_a", "class_b").distinct()
     for k in "ab":
         near = near.join(classes.select(*[F.col(x).alias(f"{x}_{k}") for x in ("class", "best", "rest", "common")]), f"class_{k}")
