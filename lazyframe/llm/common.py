@@ -50,6 +50,17 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def pieces(batches, rows: int):
+    """The same rows in batches of ``rows`` at most, so that what a worker makes of a batch stays small.
+
+    Between batches Arrow gives back what it holds free, as workers live on with what they have taken.
+    """
+    for x in batches:
+        for at in range(0, x.num_rows, rows):
+            yield x.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, schema.types, strict=True)], schema=schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, components, mixed, partitions, texts, written
+from .common import batch, components, mixed, partitions, pieces, texts, written
 
 WORDS = 5
 OVER, UNDER = 3, 4  # the similarity 3/4 as a fraction
@@ -38,7 +38,7 @@ _ODD = [np.uint64(int(x)) for x in _FACTORS]
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         got = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return got
@@ -130,7 +130,7 @@ def _sign(batches):
     A set that the task has seen before doesn't sign again, so copies stay few.
     """
     seen: set[int] = set()
-    for x in batches:
+    for x in pieces(batches, 1000):
         nodes, sizes, sigs, signed, counts, leasts = [], [], [], [], [], []
         for text in texts(x.column(1)):
             s = shingles(text)
@@ -185,7 +185,7 @@ class _Meeting:
             p = p[at]
             p[:, 2] = n
         self.pairs, self.held = [p], len(p)
-        if all_ or len(p) > 500_000:
+        if all_ or len(p) > 200_000:
             self.pairs, self.held = [], 0
             yield self._out(PAIR, p[:, 0], p[:, 1], p[:, 2], p[:, 3], 0, 0)
 
@@ -223,7 +223,7 @@ class _Meeting:
             self.going = tuple(self.rest[0, :3].tolist())
             yield self._crowd(self.rest, *self.going[1:])
             self.rest = self.rest[:0]
-        if self.held > 1_000_000:
+        if self.held > 400_000:
             yield from self.fold(False)
 
 
@@ -246,7 +246,7 @@ _SET = pa.schema([("node", pa.int64()), ("features", pa.binary())])
 
 def _sets(batches):
     seen: set[int] = set()
-    for x in batches:
+    for x in pieces(batches, 1000):
         nodes, sets = [], []
         for text in texts(x.column(0)):
             s = shingles(text)
@@ -265,7 +265,7 @@ def similar(s: np.ndarray, t: np.ndarray) -> bool:
 
 def _verify(batches):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    for x in batches:
+    for x in pieces(batches, 500):
         a, b = x.column(2).to_pylist(), x.column(3).to_pylist()
         good = np.array([similar(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)) for s, t in zip(a, b, strict=True)], bool)
         yield batch(schema, x.column(0).to_numpy(zero_copy_only=False)[good], x.column(1).to_numpy(zero_copy_only=False)[good])
@@ -299,7 +299,7 @@ def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _features(batches):
     schema = pa.schema([("f", pa.int64()), ("node", pa.int64())])
-    for x in batches:
+    for x in pieces(batches, 1000):
         sets = [np.frombuffer(s, np.int64) for s in x.column(1).to_pylist()]
         if sets:
             yield batch(schema, np.concatenate(sets), np.repeat(x.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sets]))
@@ -312,7 +312,7 @@ _PARTED_SCHEMA = pa.schema([("f", pa.int64()), ("node", pa.int64()), ("size", pa
 def _parted(batches):
     """Of (node, size, root, features, common): a row for each uncommon feature that a similar set may share first,
     and of a set that common features alone can make similar a row with these and their fingerprint."""
-    for x in batches:
+    for x in pieces(batches, 200):
         rows = []
         for node, size, root, features, common in zip(*(c.to_pylist() for c in x.columns), strict=True):
             features, common = np.frombuffer(features, np.int64), np.array(common or [], np.int64)
