@@ -324,12 +324,17 @@ def _parted(batches):
             yield batch(_PARTED_SCHEMA, *zip(*rows, strict=True))
 
 
-def _meeting_apart(rows: DataFrame, side: str, *names: str) -> DataFrame:
-    """Pairs of ``rows`` with equal ``f`` and different ``side``; rows of one side never meet, however many they are."""
-    sides = rows.select("f", side).distinct()
-    met = sides.withColumnRenamed(side, "side_a").join(sides.withColumnRenamed(side, "side_b"), "f").where("side_a < side_b")
+def _meeting_apart(rows: DataFrame, side: str, names: tuple[str, ...], fits: str = "true", **bounds) -> DataFrame:
+    """Pairs of ``rows`` with equal ``f`` and different ``side``; rows of one side never meet, however many they are.
+
+    ``fits`` tests the ``bounds`` (column: aggregate over a side) of pairs of sides, of a row
+    and a side and of two rows; if it fails for a side's aggregates it must fail for its rows.
+    """
+    sides = rows.groupBy("f", side).agg(*[how(x).alias(x) for x, how in bounds.items()]) if bounds else rows.select("f", side).distinct()
+    one, two = (sides.select("f", *[F.col(x).alias(f"{x}_{k}") for x in (side, *bounds)]) for k in "ab")
+    met = one.join(two, "f").where(f"{side}_a < {side}_b").where(fits)
     for k in "ab":
-        met = met.join(rows.select("f", F.col(side).alias(f"side_{k}"), *[F.col(x).alias(f"{x}_{k}") for x in names]), ["f", f"side_{k}"])
+        met = met.drop(*[f"{x}_{k}" for x in bounds]).join(rows.select("f", *[F.col(x).alias(f"{x}_{k}") for x in (side, *names, *bounds)]), ["f", f"{side}_{k}"]).where(fits)
     return met
 
 
@@ -341,7 +346,8 @@ def _apart_pairs(sets: DataFrame, at: DataFrame) -> DataFrame:
     hold it that its pairs are listed. The others share common features only. Sets with equal
     common features (a class) are then as similar as their other features are few, so each
     set meets the one of its class that has the fewest, and that of each class
-    whose common features are similar to its own.
+    whose common features are similar to its own. Pairs of classes whose sizes rule
+    similarity out are dropped inside the joins, and any other is listed once.
     """
     own = sets.join(at, "node").select("node", "size", "root", "features")
     common = written(own.select("node", "features").mapInArrow(_features, "f long, node long").groupBy("f").count().where(F.col("count") > CROWD).select("f"), "common")
@@ -349,7 +355,7 @@ def _apart_pairs(sets: DataFrame, at: DataFrame) -> DataFrame:
     held = own.select("node", "features").mapInArrow(_features, "f long, node long").join(few, "f").groupBy("node").agg(F.sort_array(F.collect_list("f")).alias("common"))
     parted = written(own.join(held, "node", "left").mapInArrow(_parted, _PARTED), "parted")
     rare = parted.where("rest is null").select("f", "node", "size", "root")
-    rare = _meeting_apart(rare, "root", "node", "size").where(_fit("size_a", "size_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    rare = _meeting_apart(rare, "root", ("node", "size")).where(_fit("size_a", "size_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     heavy = parted.where("rest is not null").withColumnRenamed("f", "class")
     classes = heavy.groupBy("class").agg(F.min_by(F.struct("node", "root"), F.struct("rest", "node")).alias("best"), F.min("rest").alias("rest"), F.first("common").alias("common"), F.min("root").alias("low"), F.max("root").alias("high"))
     # a class within one component has that as its side
@@ -358,8 +364,15 @@ def _apart_pairs(sets: DataFrame, at: DataFrame) -> DataFrame:
     each = classes.select("class", F.explode("common").alias("f"))
     first = each.join(each.groupBy("f").count(), "f").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("count", "f"))).alias("o"))
     # a pair's common features alone must reach 3/4 of the whole set, so the more others it has, the fewer of them may be missing
-    first = first.join(classes.select("class", "side", "rest"), "class").select("class", "side", F.explode(F.expr(f"slice(o.f, 1, cast((size(o) * {UNDER - OVER} - rest * {OVER}) div {UNDER} as int) + 1)")).alias("f"))
-    near = _meeting_apart(first, "side", "class").select("class_a", "class_b").distinct()
+    alone = classes.groupBy("side").agg((F.count(F.lit(1)) == 1).alias("alone"))
+    first = first.join(classes.select("class", "side", "rest"), "class").join(alone, "side").select("class", "side", "alone", F.size("o").alias("held"), (F.size("o") + F.col("rest")).alias("least"), F.expr(f"slice(o.f, 1, cast((size(o) * {UNDER - OVER} - rest * {OVER}) div {UNDER} as int) + 1)").alias("first"))
+    first = written(first, "first").select("*", F.explode("first").alias("f"))
+    # two classes share no more than the smaller one's common features, and meet at the first that both have in front
+    fits, here = f"{OVER + UNDER} * least(held_a, held_b) >= {OVER} * (least_a + least_b)", "array_intersect(first_a, first_b)[0] = f"
+    one, two = (first.select("f", *[F.col(x).alias(f"{x}_{k}") for x in ("class", "side", "alone", "held", "least", "first")]) for k in "ab")
+    near = one.join(two.where("alone_b"), "f").where("side_a <> side_b and (not alone_a or class_a < class_b)").where(fits).where(here).select("class_a", "class_b")
+    more = _meeting_apart(first.where("not alone"), "side", ("class", "first"), fits, held=F.max, least=F.min)
+    near = near.union(more.where(here).select("class_a", "class_b"))
     for k in "ab":
         near = near.join(classes.select(*[F.col(x).alias(f"{x}_{k}") for x in ("class", "best", "rest", "common")]), f"class_{k}")
     near = near.withColumn("both", F.size(F.array_intersect("common_a", "common_b")))
