@@ -19,7 +19,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batch, texts
+from .common import batch, pieces, texts, turn_to
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -170,6 +170,7 @@ _CODECS: dict[str, Codec] = {}
 
 def codec(path: str | None = None) -> Codec:
     """The codec of a vocabulary file, made once in a Python worker."""
+    turn_to("bpe", _CODECS.clear)
     path = path or public_tokenizers.path(VOCABULARY)
     if path not in _CODECS:
         _CODECS[path] = Codec(ranks(path), public_tokenizers.PATTERN)
@@ -187,7 +188,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         coder = codec(path)
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-        for x in batches:
+        for x in pieces(batches, 1000):
             counts, ids_hash, text_hash = [], [], []
             for text in texts(x.column(1)):
                 joined, ids = coder.encode(text)

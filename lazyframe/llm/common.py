@@ -61,6 +61,18 @@ def pieces(batches, rows: int):
         pa.default_memory_pool().release_unused()
 
 
+_LEFT: dict = {}
+
+
+def turn_to(name: str, forget) -> None:
+    """A worker that turns to another operator lets go of what the last one remembered; ``forget`` does that for this one."""
+    if name not in _LEFT:
+        for clear in _LEFT.values():
+            clear()
+        _LEFT.clear()
+        _LEFT[name] = forget
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, schema.types, strict=True)], schema=schema)
 

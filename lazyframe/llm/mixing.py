@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts, written
+from .common import batch, pieces, texts, turn_to, written
 
 BUCKETS = 1 << 15
 
 
 class _Buckets(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         got = self[word] = zlib.crc32(word.encode()) % BUCKETS
         return got
@@ -42,6 +42,7 @@ class Classifier:
 
     def posteriors(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(a row of posteriors a text, words a text)."""
+        turn_to("mixing", _BUCKETS.clear)
         at, out, n = _BUCKETS, np.zeros((len(many), len(self.domains))), np.zeros(len(many), np.int64)
         for k, text in enumerate(many):
             words = _words(text)
@@ -123,7 +124,7 @@ def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | No
     k = len(classifier.domains)
 
     def run(batches):
-        for x in batches:
+        for x in pieces(batches, 1000):
             p, n = classifier.posteriors(texts(x.column(1)))
             yield batch(pa.schema([("doc_id", pa.int64()), ("chance", pa.float64()), ("n", pa.int64()), ("p", pa.list_(pa.float64()))]), x.column(0), x.column(2), n, list(p))
 

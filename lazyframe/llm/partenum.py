@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, components, mixed, partitions, pieces, texts, written
+from .common import batch, components, mixed, partitions, pieces, texts, turn_to, written
 
 WORDS = 5
 OVER, UNDER = 3, 4  # the similarity 3/4 as a fraction
@@ -129,6 +129,7 @@ def _sign(batches):
 
     A set that the task has seen before doesn't sign again, so copies stay few.
     """
+    turn_to("partenum", _WORDS.clear)
     seen: set[int] = set()
     for x in pieces(batches, 1000):
         nodes, sizes, sigs, signed, counts, leasts = [], [], [], [], [], []
@@ -245,6 +246,7 @@ _SET = pa.schema([("node", pa.int64()), ("features", pa.binary())])
 
 
 def _sets(batches):
+    turn_to("partenum", _WORDS.clear)
     seen: set[int] = set()
     for x in pieces(batches, 1000):
         nodes, sets = [], []

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, crc_of_id, texts
+from .common import batch, crc_of_id, texts, turn_to
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[.!?\n]")
@@ -117,7 +117,7 @@ class Machine:
                     weight = self.ends[node][0]
                     if best is None or (e, -weight) < (best[1], -best[0]):
                         best = (weight, e)
-        if len(self.known) > 400_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         self.known[word] = best
         return best
@@ -287,6 +287,7 @@ _MACHINES: dict = {}
 
 
 def _machine(terms: dict[str, float]) -> Machine:
+    turn_to("toxicity", _MACHINES.clear)
     key = hash(tuple(sorted(terms.items())))
     if key not in _MACHINES:
         _MACHINES.clear()
