@@ -4,12 +4,14 @@ An entity is its canonical form (an address in lower case, a number's digits), s
 mentions anywhere get the same surrogate, each laid out as that mention was. A surrogate
 follows from a key, the entity and an attempt number. All different entities of a corpus
 are held against each other: where two would share a surrogate, or one would turn into
-what another really is, the one of the larger hash takes its next attempt.
+what another really is, the one of the larger hash takes its next attempt. Every
+``GROWS`` attempts a surrogate gets longer, so all become different in the end.
 """
 
 from __future__ import annotations
 
 import hmac
+import itertools
 import re
 import unicodedata
 
@@ -93,15 +95,20 @@ class _Stream:
 
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
+DIGITS = "0123456789"
+#: What a secret without a letter or digit is made of anew.
+SYMBOLS = "!#$%&()*+-./:<=>?@[]^_{|}~"
+#: So many attempts keep an entity's own length; after each so many more a surrogate has one character, syllable or number more.
+GROWS = 4
 #: By the first word of a letter's Unicode name.
 SCRIPTS = {"LATIN": ("aeiou", "bdfghklmnprstvz"), "CYRILLIC": ("аеиоу", "бвгдзклмнпрст"), "GREEK": ("αειου", "βγδζκλμνπρστ")}
 
 
-def _name(word: str, gender: str, s: _Stream) -> str:
-    """Open syllables of the word's script with an ending of its gender, in its case."""
+def _name(word: str, gender: str, s: _Stream, more: int = 0) -> str:
+    """Open syllables of the word's script, ``more`` beyond its own, with an ending of its gender, in its case."""
     script = next((k for c in word if c.isalpha() and (k := unicodedata.name(c, "LATIN").split(" ")[0]) in SCRIPTS), "LATIN")
     vowels, others = SCRIPTS[script]
-    made = "".join(s.of(others) + s.of(vowels) for _ in range(max(2, min(5, len(word) // 2)))) + s.of(others)
+    made = "".join(s.of(others) + s.of(vowels) for _ in range(max(2, min(5, len(word) // 2)) + more)) + s.of(others)
     made += {"f": vowels[0], "m": "", "n": ""}[gender]
     return made.upper() if word.isupper() and len(word) > 1 else made.capitalize()
 
@@ -111,12 +118,18 @@ def _luhn(digits: str) -> int:
 
 
 def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str:
-    """The canonical form of the entity's surrogate; of the entity's length but for names."""
+    """The canonical form of the entity's surrogate; of the entity's length but for names and late attempts.
+
+    An address of an early attempt has the entity's lengths, a late one any numbers, and one
+    that even these don't tell apart gets further numbers."""
     s = _Stream(key, kind, entity, attempt)
+    more = attempt // GROWS
     if kind.startswith("name-"):
-        return _name(entity, kind[-1], s)
+        return _name(entity, kind[-1], s, more)
     if kind == "ip":
         low = {1: (1, 9), 2: (10, 90), 3: (100, 156)}
+        if more:
+            return ".".join(str(1 + s.below(254)) for _ in range(3 + more))
         return ".".join(str(low[len(x)][0] + s.below(low[len(x)][1])) for x in entity.split("."))
     keep = 0
     if kind == "key":
@@ -126,15 +139,26 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
     tail = entity.rindex(".") if kind == "email" else len(entity)
     out = list(entity)
     hexa = kind == "secret" and re.fullmatch(r"[0-9a-f]+", entity)
+    bare = kind == "secret" and not any(c.isdigit() or c.isalpha() for c in entity)
     for k in range(keep, tail):
         c = entity[k]
         if hexa:
             out[k] = s.of("0123456789abcdef")
+        elif bare:
+            out[k] = s.of(SYMBOLS)
         elif c.isdigit():
             out[k] = s.of("123456789" if k == 0 or kind in ("phone", "ssn") else "0123456789")
         elif c.isalpha():
             new = s.of(LATIN)
             out[k] = new.upper() if c.isupper() else new
+    letters = {"email": LATIN, "secret": SYMBOLS if bare else "0123456789abcdef" if hexa else LATIN}.get(kind, DIGITS)
+    longer = [s.of(letters) for _ in range(more)]
+    if kind == "card":
+        out[-1:-1] = longer  # the check digit stays last
+    elif kind == "email":
+        out[:0] = longer
+    else:
+        out += longer
     if kind == "card":
         out[0] = entity[0]
         if _luhn(entity[:-1] + "0") == (10 - int(entity[-1])) % 10:
@@ -143,15 +167,17 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
 
 
 def laid_out(mention: str, kind: str, made: str) -> str:
-    """The surrogate in the mention's own format: its separators, or its case."""
+    """The surrogate in the mention's own format: its separators, or its case. What a longer one has beyond
+    the mention follows it, or goes before an address."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(made)
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        return "".join([next(digits) if c.isdigit() else c for c in mention] + list(digits))
     if kind == "iban":
         rest = iter(made)
-        return "".join(c if c == " " else next(rest) for c in mention)
+        return "".join([c if c == " " else next(rest) for c in mention] + list(rest))
     if kind == "email":
-        return "".join(a.upper() if b.isupper() else a for a, b in zip(made, mention, strict=True))
+        longer = len(made) - len(mention)
+        return made[:longer] + "".join(a.upper() if b.isupper() else a for a, b in zip(made[longer:], mention, strict=True))
     return made
 
 
@@ -176,12 +202,13 @@ def _entities(batches):
         yield batch(schema, [k for k, _ in found], [e for _, e in found])
 
 
-def collisions(docs: DataFrame, key: bytes = KEY, most_rounds: int = 30) -> DataFrame:
+def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, entity, attempt) of the entities whose first surrogate won't do; usually few.
 
     Works on the table of different entities, combined before each shuffle, so a mention
     that a third of all texts hold is one row. ``group`` keeps kinds apart whose surrogates
-    can't be mistaken for each other; names of either gender share one.
+    can't be mistaken for each other; names of either gender share one. Rounds go on until
+    all differ: as surrogates grow with the attempt, there are soon far more than entities.
     """
     spark = docs.sparkSession
 
@@ -195,7 +222,7 @@ def collisions(docs: DataFrame, key: bytes = KEY, most_rounds: int = 30) -> Data
     distinct = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(_entities, "kind string, entity string").distinct()
     now = written(distinct.withColumn("attempt", F.lit(0)).mapInArrow(made, form), "entities")
     real = now.select("group", F.col("entity").alias("made")).distinct()
-    for _ in range(most_rounds):
+    for _ in itertools.count():
         # settled ones go first, then the smaller hash, so that only newcomers give way
         order = W.partitionBy("group", "made").orderBy("attempt", F.xxhash64("kind", "entity"), "kind", "entity")
         ranked = now.withColumn("rank", F.row_number().over(order)).join(real.withColumn("is_real", F.lit(True)), ["group", "made"], "left")
@@ -204,7 +231,6 @@ def collisions(docs: DataFrame, key: bytes = KEY, most_rounds: int = 30) -> Data
             return now.where("attempt > 0").select("kind", "entity", "attempt")
         kept = now.join(bad.select("kind", "entity"), ["kind", "entity"], "left_anti").select(*now.columns)
         now = written(kept.union(bad.mapInArrow(made, form)), "entities")
-    raise RuntimeError("surrogates don't become distinct: a kind has more entities than surrogates")
 
 
 MOST_BROADCAST = 100_000
