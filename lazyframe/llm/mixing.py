@@ -2,14 +2,17 @@
 
 A naive Bayes classifier over hashed words, taught by a labelled table, gives each
 document a posterior p over the domains. With n tokens and rate r its expected tokens go
-to the domains as n r p. Nonnegative rates minimise the squared distance of the domains'
-shares of tokens to the targets, and lightly their own distance to 1, by accelerated
-projected gradient: a step needs one sum a domain over all documents, and since a
-document's rate follows from p and the sums so far, no rates are stored or shuffled.
+to the domains as n r p. Nonnegative rates bring the domains' shares of tokens to the
+targets by accelerated projected gradient, which starts at rate 1 and leaves it no further
+than the targets ask. The squared distance is measured by the inverse of the domains'
+second moments, so a rare domain counts as much as a large one and a step has length 1.
+A step needs one sum a domain over all documents, and since a document's rate follows
+from p and the sums so far, no rates are stored or shuffled.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 
 import numpy as np
@@ -96,11 +99,15 @@ def temperature_targets(shares: np.ndarray, power: float = 0.5) -> np.ndarray:
     return w * max((s / x for s, x in zip(shares, w, strict=True) if x > 0), default=0.0)
 
 
-def rates(p: np.ndarray, history: list[tuple[np.ndarray, float]], step: float, pull: float) -> tuple[np.ndarray, np.ndarray]:
+#: Added to the second moments, as a share of a domain's tokens: domains that no posteriors tell apart take many small steps.
+RIDGE = 1e-3
+
+
+def rates(p: np.ndarray, history: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
     """(rates, the point of the next gradient) of rows with posteriors ``p`` after the steps so far."""
     r = y = np.ones(len(p))
-    for gap, momentum in history:
-        new = np.maximum(0.0, y - step * (p @ gap + pull * (y - 1)))
+    for move, momentum in history:
+        new = np.maximum(0.0, y - p @ move)
         r, y = new, new + momentum * (new - r)
     return r, y
 
@@ -108,18 +115,26 @@ def rates(p: np.ndarray, history: list[tuple[np.ndarray, float]], step: float, p
 class Mix:
     """A fitted mix: turns posteriors into rates, and rates into whole copies by a hash of the row."""
 
-    def __init__(self, classifier: Classifier, targets: np.ndarray, history: list, step: float, pull: float, reached: np.ndarray):
-        self.classifier, self.targets, self.history, self.step, self.pull, self.reached = classifier, targets, history, step, pull, reached
+    def __init__(self, classifier: Classifier, targets: np.ndarray, history: list, reached: np.ndarray):
+        self.classifier, self.targets, self.history, self.reached = classifier, targets, history, reached
 
     def of(self, many: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p, n = self.classifier.posteriors(many)
-        return p, n, rates(p, self.history, self.step, self.pull)[0]
+        return p, n, rates(p, self.history)[0]
+
+
+def gaps(reached: np.ndarray, targets: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """The distance of each domain's tokens to its target as a part of the target, or of its present tokens where none are wanted."""
+    of = np.where(targets > 0, targets, shares)
+    return np.abs(reached - targets) / np.where(of > 0, of, 1.0)
 
 
-def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, pull: float = 1e-3, most_rounds: int = 60, tolerance: float = 1e-4) -> tuple[Mix, DataFrame]:
+def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, most_rounds: int = 60, tolerance: float = 1e-4) -> tuple[Mix, DataFrame]:
     """The mix, and (doc_id, chance, n, p) of every row, kept in the shared folder.
 
-    ``weights``: domain -> share wanted (summing to 1); without it ``temperature_targets`` of the present shares."""
+    ``weights``: domain -> share wanted (summing to 1); without it ``temperature_targets`` of the present shares.
+    Steps go on until each domain is within ``tolerance`` of its own target. Some targets can't be met, as one
+    beyond what any document's posterior gives; a warning then names the domains with target and tokens reached."""
     classifier = learn_classifier(docs, labelled)
     k = len(classifier.domains)
 
@@ -131,40 +146,60 @@ def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | No
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("chance", _chance())
     table = written(d.mapInArrow(run, "doc_id long, chance double, n long, p array<double>"), "posteriors")
 
-    def sums(history: list, step: float) -> np.ndarray:
-        """Tokens in all, then the domains' tokens at the present point."""
+    def sums(history: list) -> tuple[np.ndarray, np.ndarray]:
+        """The domains' tokens at the present rates, and at the point of the next gradient."""
 
         def run(batches):
-            total = np.zeros(k + 1)
+            total = np.zeros(2 * k)
             for x in batches:
                 n = x.column(0).to_numpy(zero_copy_only=False)
                 p = x.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(n), k)
-                total[0] += n.sum()
-                total[1:] += (n * rates(p, history, step, pull)[1]) @ p
+                r, y = rates(p, history)
+                total[:k] += (n * r) @ p
+                total[k:] += (n * y) @ p
             yield batch(pa.schema([("x", pa.list_(pa.float64()))]), [total])
 
-        rows = table.select("n", "p").mapInArrow(run, "x array<double>").collect()  # k + 1 numbers a task
-        return np.sum([r[0] for r in sorted(rows)], axis=0) if rows else np.zeros(k + 1)
+        total = summed(run, 2 * k)
+        return total[:k] / tokens, total[k:] / tokens
+
+    def summed(run, size: int) -> np.ndarray:
+        rows = table.select("n", "p").mapInArrow(run, "x array<double>").collect()  # at most 1 + k * k numbers a task
+        return np.sum([r[0] for r in sorted(rows)], axis=0) if rows else np.zeros(size)
+
+    def moments(batches):
+        total = np.zeros(1 + k * k)
+        for x in batches:
+            n = x.column(0).to_numpy(zero_copy_only=False)
+            p = x.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(n), k)
+            total[0] += n.sum()
+            total[1:] += (p.T @ (n[:, None] * p)).ravel()
+        yield batch(pa.schema([("x", pa.list_(pa.float64()))]), [total])
 
-    start = sums([], 0.0)
+    start = summed(moments, 1 + k * k)
     tokens = max(start[0], 1.0)
-    shares = start[1:] / tokens
+    second = start[1:].reshape(k, k) / tokens
+    shares = second.sum(1)  # a row's posteriors sum to 1
     if weights is None:
         targets = temperature_targets(shares)
     else:
         w = np.array([weights.get(x, 0.0) for x in classifier.domains])
         targets = w * max((s / x for s, x in zip(shares, w, strict=True) if x > 0), default=1.0)
-    step = 1 / (max(shares.max(), 1e-9) + pull)  # at least the inverse of the largest curvature
+    # in units of the root of its share every domain has a second moment of 1 if its documents are clear
+    unit = np.sqrt(np.where(shares > 0, shares, 1.0))
+    inverse = np.linalg.pinv(second / np.outer(unit, unit) + RIDGE * np.diag((shares > 0).astype(float)), hermitian=True) / np.outer(unit, unit)
     history: list[tuple[np.ndarray, float]] = []
-    at, t = shares, 1.0
-    for _ in range(most_rounds):
-        if np.abs(at - targets).max() <= tolerance * max(targets.max(), 1e-9):
-            break
+    reached, at, t, still = shares, shares, 1.0, 0
+    while gaps(reached, targets, shares).max() > tolerance and len(history) < most_rounds and still < 3:
         new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        history.append((at - targets, (t - 1) / new))
-        t = new
-        at = sums(history, step)[1:] / tokens
-    return Mix(classifier, targets, history, step, pull, at), table
+        history.append((inverse @ (at - targets), (t - 1) / new))
+        before, t = reached, new
+        reached, at = sums(history)
+        still = still + 1 if gaps(reached, before, shares).max() <= tolerance * 1e-3 else 0  # nearer it doesn't get
+    gap = gaps(reached, targets, shares)
+    if gap.max() > tolerance:
+        told = ", ".join(f"{x} {b:.6g} of {a:.6g}" for x, a, b, g in zip(classifier.domains, targets, reached, gap, strict=True) if g > tolerance)
+        warnings.warn(f"domains that miss their target (reached of target, in tokens a present token): {told}", stacklevel=2)
+    return Mix(classifier, targets, history, reached), table
 
 
 def _chance() -> F.Column:
@@ -186,7 +221,7 @@ def mix_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] |
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("domain", pa.string()), ("posterior", pa.list_(pa.float64())), ("rate", pa.float64()), ("chance", pa.float64())])
         for x in batches:
             p = x.column(3).flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, len(mix.classifier.domains))
-            yield batch(schema, x.column(0), x.column(2), [mix.classifier.domains[k] for k in p.argmax(1)], x.column(3), rates(p, mix.history, mix.step, mix.pull)[0], x.column(1))
+            yield batch(schema, x.column(0), x.column(2), [mix.classifier.domains[k] for k in p.argmax(1)], x.column(3), rates(p, mix.history)[0], x.column(1))
 
     out = table.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior array<double>, rate double, chance double")
     return out.withColumn("copies", (F.floor("rate") + (F.col("chance") < F.col("rate") - F.floor("rate")).cast("long")).cast("int")).drop("chance")

@@ -363,6 +363,28 @@ def test_mixing(spark, odd):
     assert mixing.mix_rates(odd, spark.createDataFrame([(1, "a"), (4, "b")], "doc_id long, domain string")).count() == 7
 
 
+def test_mixing_brings_rare_domains_to_their_targets(spark):
+    from lazyframe.llm import mixing
+
+    r = random.Random(3)
+    words = {d: [f"{d}{k}" for k in range(30)] for d in ("en", "de", "fr", "it")}
+    sizes = {"en": 6000, "de": 60, "fr": 6, "it": 1}  # it has 0.016 % of the tokens
+    rows = [(k, " ".join(r.choice(words[d]) for _ in range(20)), d) for k, d in enumerate(d for d, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labelled = docs.select("doc_id", F.col("lang").alias("domain"))
+    roots = {d: n**0.5 for d, n in sizes.items()}
+    for weights in (None, {"en": 0.6, "de": 0.2, "fr": 0.1, "it": 0.1}):
+        got = mixing.mix_rates(docs, labelled, weights).collect()
+        domains = sorted(sizes)
+        tokens = np.sum([np.array(x.posterior) * x.n_tokens * x.rate for x in got], axis=0)
+        want = np.array([weights[d] if weights else roots[d] / sum(roots.values()) for d in domains])
+        assert np.abs(tokens / tokens.sum() / want - 1).max() < 1e-3 and min(x.rate for x in got) >= 0
+    # texts that all have the same posteriors can't be mixed, and that is said
+    same = spark.createDataFrame([(k, "a b c", "xy"[k % 2]) for k in range(20)], "doc_id long, text string, lang string")
+    with pytest.warns(UserWarning, match="miss their target"):
+        mixing.mix_rates(same, same.select("doc_id", F.col("lang").alias("domain")), {"x": 0.9, "y": 0.1}).collect()
+
+
 def test_components(spark):
     from lazyframe.llm.common import components
 
