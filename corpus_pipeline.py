@@ -25,8 +25,8 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of languages asks for; the temperature targets shrink no language."""
-    return mixing.mixed_documents(docs, labelled_domains(docs, table(spark, sf_dir, "labels")))
+    """Documents as often as the mix of languages asks for; the temperature targets shrink no language, and each document stays once at least."""
+    return mixing.mixed_documents(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), keep_all=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

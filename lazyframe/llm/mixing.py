@@ -103,11 +103,11 @@ def temperature_targets(shares: np.ndarray, power: float = 0.5) -> np.ndarray:
 RIDGE = 1e-3
 
 
-def rates(p: np.ndarray, history: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, the point of the next gradient) of rows with posteriors ``p`` after the steps so far."""
+def rates(p: np.ndarray, history: list[tuple[np.ndarray, float]], least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(rates of ``least`` and more, the point of the next gradient) of rows with posteriors ``p`` after the steps so far."""
     r = y = np.ones(len(p))
     for move, momentum in history:
-        new = np.maximum(0.0, y - p @ move)
+        new = np.maximum(least, y - p @ move)
         r, y = new, new + momentum * (new - r)
     return r, y
 
@@ -115,12 +115,12 @@ def rates(p: np.ndarray, history: list[tuple[np.ndarray, float]]) -> tuple[np.nd
 class Mix:
     """A fitted mix: turns posteriors into rates, and rates into whole copies by a hash of the row."""
 
-    def __init__(self, classifier: Classifier, targets: np.ndarray, history: list, reached: np.ndarray):
-        self.classifier, self.targets, self.history, self.reached = classifier, targets, history, reached
+    def __init__(self, classifier: Classifier, targets: np.ndarray, history: list, reached: np.ndarray, least: float = 0.0):
+        self.classifier, self.targets, self.history, self.reached, self.least = classifier, targets, history, reached, least
 
     def of(self, many: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p, n = self.classifier.posteriors(many)
-        return p, n, rates(p, self.history)[0]
+        return p, n, rates(p, self.history, self.least)[0]
 
 
 def gaps(reached: np.ndarray, targets: np.ndarray, shares: np.ndarray) -> np.ndarray:
@@ -129,12 +129,14 @@ def gaps(reached: np.ndarray, targets: np.ndarray, shares: np.ndarray) -> np.nda
     return np.abs(reached - targets) / np.where(of > 0, of, 1.0)
 
 
-def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, most_rounds: int = 60, tolerance: float = 1e-4) -> tuple[Mix, DataFrame]:
+def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, most_rounds: int = 60, tolerance: float = 1e-4, keep_all: bool = False) -> tuple[Mix, DataFrame]:
     """The mix, and (doc_id, chance, n, p) of every row, kept in the shared folder.
 
     ``weights``: domain -> share wanted (summing to 1); without it ``temperature_targets`` of the present shares.
     Steps go on until each domain is within ``tolerance`` of its own target. Some targets can't be met, as one
-    beyond what any document's posterior gives; a warning then names the domains with target and tokens reached."""
+    beyond what any document's posterior gives; a warning then names the domains with target and tokens reached.
+    ``keep_all``: no rate is below 1 where no target is below a domain's present tokens. Soft posteriors then
+    bring the domains that don't grow a little beyond their targets."""
     classifier = learn_classifier(docs, labelled)
     k = len(classifier.domains)
 
@@ -154,7 +156,7 @@ def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | No
             for x in batches:
                 n = x.column(0).to_numpy(zero_copy_only=False)
                 p = x.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(n), k)
-                r, y = rates(p, history)
+                r, y = rates(p, history, least)
                 total[:k] += (n * r) @ p
                 total[k:] += (n * y) @ p
             yield batch(pa.schema([("x", pa.list_(pa.float64()))]), [total])
@@ -187,6 +189,7 @@ def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | No
     # in units of the root of its share every domain has a second moment of 1 if its documents are clear
     unit = np.sqrt(np.where(shares > 0, shares, 1.0))
     inverse = np.linalg.pinv(second / np.outer(unit, unit) + RIDGE * np.diag((shares > 0).astype(float)), hermitian=True) / np.outer(unit, unit)
+    least = float(keep_all and (targets >= shares * (1 - 1e-9)).all())
     history: list[tuple[np.ndarray, float]] = []
     reached, at, t, still = shares, shares, 1.0, 0
     while gaps(reached, targets, shares).max() > tolerance and len(history) < most_rounds and still < 3:
@@ -199,7 +202,7 @@ def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | No
     if gap.max() > tolerance:
         told = ", ".join(f"{x} {b:.6g} of {a:.6g}" for x, a, b, g in zip(classifier.domains, targets, reached, gap, strict=True) if g > tolerance)
         warnings.warn(f"domains that miss their target (reached of target, in tokens a present token): {told}", stacklevel=2)
-    return Mix(classifier, targets, history, reached), table
+    return Mix(classifier, targets, history, reached, least), table
 
 
 def _chance() -> F.Column:
@@ -227,9 +230,9 @@ def mix_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] |
     return out.withColumn("copies", (F.floor("rate") + (F.col("chance") < F.col("rate") - F.floor("rate")).cast("long")).cast("int")).drop("chance")
 
 
-def mixed_documents(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as its copies say; see ``mix_rates``."""
-    mix, _ = fit_mix(docs, labelled, weights)
+def mixed_documents(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, keep_all: bool = False) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as its copies say; see ``mix_rates``, and ``fit_mix`` for ``keep_all``."""
+    mix, _ = fit_mix(docs, labelled, weights, keep_all=keep_all)
 
     @F.pandas_udf("double")
     def rate(text):

@@ -385,6 +385,24 @@ def test_mixing_brings_rare_domains_to_their_targets(spark):
         mixing.mix_rates(same, same.select("doc_id", F.col("lang").alias("domain")), {"x": 0.9, "y": 0.1}).collect()
 
 
+def test_mixing_keeps_all_documents(spark):
+    from lazyframe.llm import mixing
+
+    r = random.Random(5)
+    own = {"en": ["the", "and", "house"], "de": ["der", "und", "haus"]}
+    both = ["a", "b", "c"]
+    rows = [(k, " ".join(r.choice(own[d] + both) for _ in range(r.choice([1, 2, 8]))), d) for k in range(1500) for d in ["en" if k % 10 else "de"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labelled = docs.select("doc_id", F.col("lang").alias("domain"))
+    assert mixing.mixed_documents(docs, labelled).select("doc_id").distinct().count() < 1500  # soft posteriors let some go
+    mix, table = mixing.fit_mix(docs, labelled, keep_all=True)
+    assert mixing.rates(np.array([x.p for x in table.collect()]), mix.history, mix.least)[0].min() == 1.0
+    made = mixing.mixed_documents(docs, labelled, keep_all=True)
+    assert made.select("doc_id").distinct().count() == 1500 < made.count()
+    few, _ = mixing.fit_mix(docs, labelled, {"en": 1.0, "de": 0.0}, keep_all=True)
+    assert few.least == 0.0  # a target that shrinks a domain is kept
+
+
 def test_components(spark):
     from lazyframe.llm.common import components
 
