@@ -32,11 +32,11 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     at = fresh(spark, name)
-    df.write.parquet(at)
+    df.write.parquet(at, compression=compression)
     return spark.read.schema(df.schema).parquet(at)
 
 

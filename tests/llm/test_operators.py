@@ -107,6 +107,20 @@ def test_jpeg_against_the_jvm_and_by_hand(spark, odd, tmp_path):
     assert sorted(0 if x.rgb is None else x.rgb.width for x in jpeg.decode_column(d).collect()) == [0, 40]
 
 
+def test_jpeg_is_stored_and_reread(spark, odd, monkeypatch):
+    from lazyframe.llm import jpeg
+
+    kept, real = {}, jpeg.written
+    monkeypatch.setattr(jpeg, "written", lambda df, name, *how: kept.setdefault(name, real(df, name, *how)))
+    got = {x.doc_id: x for x in jpeg.store_texts(odd).collect()}
+    media = {x.doc_id: bytes(x.media) for x in kept["media"].collect()}
+    assert media.keys() == got.keys() and all(jpeg.Picture(m).payload() == jpeg.payload_of({x[0]: x[1] for x in ODD}[k])[0] for k, m in media.items())
+    tensors = {x.doc_id: x for x in jpeg.decode_column(kept["media"]).collect()}
+    for x in kept["tensors"].collect():
+        assert (x.height, x.width, bytes(x.rgb)) == (tensors[x.doc_id].rgb.height, tensors[x.doc_id].rgb.width, bytes(tensors[x.doc_id].rgb.data))
+        assert got[x.doc_id].feature.startswith(f"{x.width}x{x.height}:") and got[x.doc_id].media_bytes == len(media[x.doc_id])
+
+
 def test_jpeg_symbol_by_symbol():
     """A spectral-selection and successive-approximation file with zero runs and subsampled chroma."""
     from lazyframe.llm import jpeg
