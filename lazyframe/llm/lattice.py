@@ -20,7 +20,7 @@ from .common import batch, components, mixed, partitions, written
 TABLES = 10
 BLOCKS = 2
 PROBES = 2  # cells a block
-SCALE = 4.0
+SCALE = 0.5  # of the directions: how far apart two unit vectors come to lie depends on it and not on their length
 MOST_IN_TASK = 2048
 COSINE = 0.9
 
@@ -59,8 +59,8 @@ class Lattice:
     def __init__(self, size: int, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, scale: float = SCALE, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.tables, self.blocks, self.probes = tables, blocks, probes
-        # scaled so that the projection of a unit difference has the length scale * sqrt(8 / size) on the average
-        self.directions = rng.normal(0, scale * size**-0.5, (tables, size, blocks * 8))
+        # a unit difference is projected to a block's eight numbers with the length scale * sqrt(8) on the average
+        self.directions = rng.normal(0, scale, (tables, size, blocks * 8))
         self.factors = rng.integers(1, 1 << 62, (tables, blocks, 8), dtype=np.int64).view(np.uint64) | np.uint64(1)
 
     def keys(self, x: np.ndarray) -> np.ndarray:

@@ -311,6 +311,23 @@ def test_lattice_against_brute_force(spark):
     assert (((p - near) ** 2).sum(1) <= 1 + 1e-9).all() and len(grid)  # the covering radius is 1
 
 
+@pytest.mark.parametrize("size", [16, 32, 64, 384])
+def test_lattice_finds_pairs_near_the_threshold_at_any_length(size):
+    from lazyframe.llm import lattice
+
+    rng = np.random.default_rng(size)
+    x, y = rng.normal(size=(2, 2000, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cos = rng.uniform(0.9, 0.92, (2000, 1))
+    cells = lattice.Lattice(size)
+    a, b, c = (cells.keys(v) for v in (x, cos * x + np.sqrt(1 - cos**2) * y, y))
+    met = lambda p, q: (p[:, :, :, None] == q[:, :, None, :]).any((1, 2, 3)).mean()
+    print("met", size, met(a, b), met(a, c))
+    assert met(a, b) >= 0.97 and met(a, c) < 0.1
+
+
 def test_surrogates(spark, odd, none):
     from lazyframe.llm import surrogates as s
 
