@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -15,13 +17,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests on one machine, one is made and set.
+    Where the session names none, a session on one machine, as in tests, gets one; on a
+    cluster that is an error, since a folder of the driver's machine would lose rows.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = own.get() if own.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lazyframe-shared-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -37,7 +42,27 @@ def written(df: DataFrame, name: str, compression: str | None = None) -> DataFra
     spark = df.sparkSession
     at = fresh(spark, name)
     df.write.parquet(at, compression=compression)
-    return spark.read.schema(df.schema).parquet(at)
+    table = spark.read.schema(df.schema).parquet(at)
+    table.written_at = at
+    return table
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made; nothing lazy may still read them."""
+    for table in tables:
+        at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def partitions(spark: SparkSession, df: DataFrame, factor: float = 1.0) -> int:
@@ -61,16 +86,46 @@ def pieces(batches, rows: int):
         pa.default_memory_pool().release_unused()
 
 
-_LEFT: dict = {}
+_LEFT: dict[str, Callable] = {}
 
 
-def turn_to(name: str, forget) -> None:
+def turn_to(name: str, forget: Callable) -> None:
     """A worker that turns to another operator lets go of what the last one remembered; ``forget`` does that for this one."""
     if name not in _LEFT:
         for clear in _LEFT.values():
             clear()
         _LEFT.clear()
-        _LEFT[name] = forget
+    _LEFT[name] = forget
+
+
+def nothing() -> None:
+    """Nothing is remembered from task to task."""
+
+
+def give_back() -> None:
+    """Memory that is free but held goes back to the system, as a worker waits long between two tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def work(name: str, forget: Callable = nothing):
+    """Wraps a function on batches for ``mapInArrow``: as its task begins the worker turns to operator ``name``,
+    and as it ends the worker gives back what the task has left free."""
+
+    def of(run):
+        def running(batches):
+            turn_to(name, forget)
+            try:
+                yield from run(batches)
+            finally:
+                give_back()
+
+        return running
+
+    return of
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -108,6 +163,7 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
+@work("components")
 def _forest(batches):
     parts = [(x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_numpy(zero_copy_only=False)) for x in batches]
     if parts:
@@ -126,7 +182,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     node (combined before the shuffle) is joined back, and skewed joins are split by AQE.
     """
     spark = edges.sparkSession
-    e = written(edges.select("u", "v").where("u <> v").mapInArrow(_forest, "u long, v long").distinct(), "edges")
+    e = last = written(edges.select("u", "v").where("u <> v").mapInArrow(_forest, "u long, v long").distinct(), "edges")
     if e.isEmpty():
         return spark.createDataFrame([], "node long, root long")
 
@@ -144,6 +200,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     for _ in range(most_rounds):
         new = written(star(star(e, True), False), "edges")
+        removed(last)
+        last = new
         # every node hangs on one other, and none that others hang on hangs itself: stars, so done
         n, distinct = new.agg(F.count("*"), F.count_distinct("u")).first()
         if n == distinct and new.select("u").intersect(new.select("v")).isEmpty():

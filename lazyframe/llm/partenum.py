@@ -10,8 +10,14 @@ a signature in at least ``least`` of their parts, not just in one, and that make
 passages harmless: a signature that very many sets share is set aside unless a set has
 so many such ones that its partners might share nothing else.
 
-Sets are told apart by a 64-bit fingerprint (equal sets are one node) and compared by
-64-bit hashes of their shingles.
+In the terms of the paper there are K + 1 + slack first-level parts with a second level
+of one part, whose only subset is itself. A second level of three parts and its subsets
+of two would ask for as many signatures without slack, and the slack is what lets
+crowded signatures go.
+
+Sets are told apart by 128 bits of fingerprint: 64 name the node of equal sets, and the
+other 64 show where a name stands for different sets; those then get names of their own.
+Sets are compared by 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -25,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, components, mixed, partitions, pieces, texts, turn_to, written
+from .common import batch, components, free, mixed, partitions, pieces, removed, texts, work, written
 
 WORDS = 5
+CHECK = 0x3C6EF372FE94F82B
 OVER, UNDER = 3, 4  # the similarity 3/4 as a fraction
 CROWD = 12
 #: A set of n features signs n // SLACK parts more than it must; shared passages hide behind fewer.
@@ -47,6 +54,10 @@ class _Hashes(dict):
 _WORDS = _Hashes()
 
 
+def _forget() -> None:
+    _WORDS.clear()
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the text's 5-word shingles; of fewer words, of the whole sequence; else none.
 
@@ -70,8 +81,16 @@ def shingles(text: str | None) -> np.ndarray:
     return s[keep]
 
 
-def fingerprint(s: np.ndarray) -> int:
-    return int(mixed(mixed(s).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(len(s)))[0].view(np.int64)) if len(s) else 0
+def fingerprint(s: np.ndarray, seed: int = 0) -> int:
+    return int(mixed(mixed(s ^ np.uint64(seed)).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(len(s)))[0].view(np.int64)) if len(s) else 0
+
+
+def names(s: np.ndarray, doubtful: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """(node, check) of a set: 64 bits each. The node of a ``doubtful`` name, which stands for several sets, follows from both."""
+    node, check = fingerprint(s), fingerprint(s, CHECK)
+    if node in doubtful:
+        node = int(mixed(np.array([node, check], np.int64).view(np.uint64) + np.array([1, 2], np.uint64)).sum(dtype=np.uint64).view(np.int64))
+    return node, check
 
 
 def most_differences(n: int) -> int:
@@ -119,39 +138,45 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate(out).view(np.int64), least
 
 
-_ROW = "sig long, node long, size int, least int"
-_KIND = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("least", pa.int32())])
+_ROW = "sig long, node long, size int, least int, check long"
+_KIND = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("least", pa.int32()), ("check", pa.int64())])
 DOCUMENT = -1  # in ``least``: the row stands for a document, with its id as ``sig``
+#: Sets that a task remembers to have signed; beyond it copies sign again, which changes no result.
+REMEMBERED = 200_000
+
+
+def _signer(doubtful: frozenset[int]):
+    @work("partenum", _forget)
+    def sign(batches):
+        """Of each document a row with its id, names and size, and of each set its signatures.
+
+        A set that the task has seen before doesn't sign again, so copies stay few.
+        """
+        seen: set[int] = set()
+        for x in pieces(batches, 1000):
+            nodes, checks, sizes, sigs, signed, counts, leasts = [], [], [], [], [], [], []
+            for text in texts(x.column(1)):
+                s = shingles(text)
+                f, check = names(s, doubtful)
+                nodes.append(f)
+                checks.append(check)
+                sizes.append(len(s))
+                if not len(s) or f in seen:
+                    continue
+                if len(seen) < REMEMBERED:
+                    seen.add(f)
+                got, least = signatures(s)
+                sigs.append(got)
+                signed.append((f, len(s)))
+                counts.append(len(got))
+                leasts.append(least)
+            yield batch(_KIND, x.column(0), nodes, sizes, [DOCUMENT] * len(nodes), checks)
+            if sigs:
+                n = np.array(counts)
+                who = np.array(signed, np.int64)
+                yield batch(_KIND, np.concatenate(sigs), np.repeat(who[:, 0], n), np.repeat(who[:, 1].astype(np.int32), n), np.repeat(np.array(leasts, np.int32), n), pa.nulls(int(n.sum()), pa.int64()))
 
-
-def _sign(batches):
-    """Of each document a row with its id, fingerprint and size, and of each set its signatures.
-
-    A set that the task has seen before doesn't sign again, so copies stay few.
-    """
-    turn_to("partenum", _WORDS.clear)
-    seen: set[int] = set()
-    for x in pieces(batches, 1000):
-        nodes, sizes, sigs, signed, counts, leasts = [], [], [], [], [], []
-        for text in texts(x.column(1)):
-            s = shingles(text)
-            f = fingerprint(s)
-            nodes.append(f)
-            sizes.append(len(s))
-            if not len(s) or f in seen:
-                continue
-            if len(seen) < 2_000_000:
-                seen.add(f)
-            got, least = signatures(s)
-            sigs.append(got)
-            signed.append((f, len(s)))
-            counts.append(len(got))
-            leasts.append(least)
-        yield batch(_KIND, x.column(0), nodes, sizes, [DOCUMENT] * len(nodes))
-        if sigs:
-            n = np.array(counts)
-            who = np.array(signed, np.int64)
-            yield batch(_KIND, np.concatenate(sigs), np.repeat(who[:, 0], n), np.repeat(who[:, 1].astype(np.int32), n), np.repeat(np.array(leasts, np.int32), n))
+    return sign
 
 
 PAIR, CROWDED, OWN = 0, 1, 2
@@ -228,6 +253,7 @@ class _Meeting:
             yield from self.fold(False)
 
 
+@work("partenum", _forget)
 def _meet(batches):
     meeting = _Meeting()
     for x in batches:
@@ -235,29 +261,52 @@ def _meet(batches):
         mine, x = x.filter(own), x.filter(pc.invert(own))
         if mine.num_rows:
             k, none = mine.num_rows, np.zeros(mine.num_rows, np.int64)
-            yield batch(_FOUND_SCHEMA, np.full(k, OWN, np.int32), mine.column(0), mine.column(1), mine.column(2), mine.column(3), none, none.astype(np.int32))
+            yield batch(_FOUND_SCHEMA, np.full(k, OWN, np.int32), mine.column(0), mine.column(1), mine.column(2), mine.column(3), mine.column(4), none.astype(np.int32))
         if x.num_rows:
             yield from meeting.take(np.stack([x.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], 1), False)
     yield from meeting.take(np.zeros((0, 4), np.int64), True)
     yield from meeting.fold(True)
 
 
-_SET = pa.schema([("node", pa.int64()), ("features", pa.binary())])
+_SET = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("sketch", pa.binary()), ("features", pa.binary())])
 
 
-def _sets(batches):
-    turn_to("partenum", _WORDS.clear)
-    seen: set[int] = set()
-    for x in pieces(batches, 1000):
-        nodes, sets = [], []
-        for text in texts(x.column(0)):
-            s = shingles(text)
-            if len(s) and (f := fingerprint(s)) not in seen:
-                if len(seen) < 2_000_000:
-                    seen.add(f)
-                nodes.append(f)
-                sets.append(s.tobytes())
-        yield batch(_SET, nodes, sets)
+def sketch(s: np.ndarray) -> bytes:
+    """How many features each of 2**k ranges of the hash has, four bits a count; empty where one has over 15."""
+    k = max(1, len(s).bit_length() - 1)
+    counts = np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes() if counts.max() <= 15 else b""
+
+
+def may_be_similar(a: bytes, b: bytes, m: int, n: int) -> bool:
+    """False only if two sets of m and n features with these sketches can't be similar: ranges share no more than the smaller count."""
+    if not a or not b:
+        return True
+    one, two = ((np.stack([x & 15, x >> 4], 1)).ravel().astype(np.int32) for x in (np.frombuffer(y, np.uint8) for y in (a, b)))
+    while len(one) != len(two):
+        if len(one) > len(two):
+            one = one.reshape(-1, 2).sum(1)
+        else:
+            two = two.reshape(-1, 2).sum(1)
+    return (OVER + UNDER) * int(np.minimum(one, two).sum()) >= OVER * (m + n)
+
+
+def _maker(doubtful: frozenset[int]):
+    @work("partenum", _forget)
+    def sets(batches):
+        seen: set[int] = set()
+        for x in pieces(batches, 1000):
+            rows = []
+            for text in texts(x.column(0)):
+                s = shingles(text)
+                if len(s) and (f := names(s, doubtful)[0]) not in seen:
+                    if len(seen) < REMEMBERED:
+                        seen.add(f)
+                    rows.append((f, len(s), sketch(s), s.tobytes()))
+            if rows:
+                yield batch(_SET, *zip(*rows, strict=True))
+
+    return sets
 
 
 def similar(s: np.ndarray, t: np.ndarray) -> bool:
@@ -265,6 +314,16 @@ def similar(s: np.ndarray, t: np.ndarray) -> bool:
     return UNDER * both >= OVER * (len(s) + len(t) - both)
 
 
+@work("partenum", _forget)
+def _likely(batches):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for x in pieces(batches, 5000):
+        rows = zip(*(x.column(k).to_pylist() for k in range(2, 6)), strict=True)
+        good = np.array([may_be_similar(s, t, m, n) for s, t, m, n in rows], bool)
+        yield batch(schema, x.column(0).to_numpy(zero_copy_only=False)[good], x.column(1).to_numpy(zero_copy_only=False)[good])
+
+
+@work("partenum", _forget)
 def _verify(batches):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     for x in pieces(batches, 500):
@@ -276,8 +335,8 @@ def _verify(batches):
 MOST_BROADCAST = 1_000_000
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, features) of the wanted nodes, from one document of each; no other text is read into a set.
+def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, doubtful: frozenset[int]) -> DataFrame:
+    """(node, size, sketch, features) of the wanted nodes, from one document of each; no other text is read into a set.
 
     The ids of those documents are broadcast where a count shows at most ``MOST_BROADCAST``
     (8 MB), else joined by a shuffle.
@@ -288,17 +347,23 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     some = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
     if not chosen.where("id is null").isEmpty():  # sets that only rows without an id have
         some = some.union(docs.where("doc_id is null"))
-    sets = some.select("text").mapInArrow(_sets, "node long, features binary").join(chosen.select("node"), "node", "left_semi")
-    return written(sets.dropDuplicates(["node"]), "sets")
+    sets = some.select("text").mapInArrow(_maker(doubtful), "node long, size int, sketch binary, features binary").join(chosen.select("node"), "node", "left_semi")
+    out = written(sets.dropDuplicates(["node"]), "sets")
+    removed(chosen)
+    return out
 
 
 def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+    """The pairs (a, b) whose sets are similar. Sketches travel first, and features only for the pairs that these leave."""
+    one = sets.select(F.col("node").alias("a"), F.col("sketch").alias("s"), F.col("size").alias("m"))
+    two = sets.select(F.col("node").alias("b"), F.col("sketch").alias("t"), F.col("size").alias("n"))
+    pairs = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "s", "t", "m", "n").mapInArrow(_likely, "a long, b long")
     one = sets.select(F.col("node").alias("a"), F.col("features").alias("s"))
     two = sets.select(F.col("node").alias("b"), F.col("features").alias("t"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(_verify, "u long, v long")
 
 
+@work("partenum", _forget)
 def _features(batches):
     schema = pa.schema([("f", pa.int64()), ("node", pa.int64())])
     for x in pieces(batches, 1000):
@@ -311,6 +376,7 @@ _PARTED = "f long, node long, size int, root long, common array<long>, rest int"
 _PARTED_SCHEMA = pa.schema([("f", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("root", pa.int64()), ("common", pa.list_(pa.int64())), ("rest", pa.int32())])
 
 
+@work("partenum", _forget)
 def _parted(batches):
     """Of (node, size, root, features, common): a row for each uncommon feature that a similar set may share first,
     and of a set that common features alone can make similar a row with these and their fingerprint."""
@@ -326,6 +392,18 @@ def _parted(batches):
             yield batch(_PARTED_SCHEMA, *zip(*rows, strict=True))
 
 
+def _numbered(common: DataFrame) -> DataFrame:
+    """(f, number): features by numbers from 0 on, which are half as wide while there are less than 2**31."""
+    at = F.monotonically_increasing_id()
+    ids = written(common.select("f", F.shiftright(at, 33).cast("int").alias("part"), at.bitwiseAND((1 << 33) - 1).alias("k")), "numbered")
+    start, starts = 0, []
+    for part, n in ids.groupBy("part").count().orderBy("part").collect():  # one number a partition
+        starts.append((part, start))
+        start += n
+    starts = F.broadcast(common.sparkSession.createDataFrame(starts, "part int, start long"))
+    return ids.join(starts, "part").select("f", (F.col("start") + F.col("k")).cast("int" if start < 1 << 31 else "long").alias("number"))
+
+
 def _meeting_apart(rows: DataFrame, side: str, names: tuple[str, ...], fits: str = "true", **bounds) -> DataFrame:
     """Pairs of ``rows`` with equal ``f`` and different ``side``; rows of one side never meet, however many they are.
 
@@ -351,10 +429,11 @@ def _apart_pairs(sets: DataFrame, at: DataFrame) -> DataFrame:
     whose common features are similar to its own. Pairs of classes whose sizes rule
     similarity out are dropped inside the joins, and any other is listed once.
     """
-    own = sets.join(at, "node").select("node", "size", "root", "features")
+    own = sets.select("node", "features").join(at, "node").select("node", "size", "root", "features")
     common = written(own.select("node", "features").mapInArrow(_features, "f long, node long").groupBy("f").count().where(F.col("count") > CROWD).select("f"), "common")
     few = F.broadcast(common) if common.count() <= MOST_BROADCAST else common
     held = own.select("node", "features").mapInArrow(_features, "f long, node long").join(few, "f").groupBy("node").agg(F.sort_array(F.collect_list("f")).alias("common"))
+    numbers = _numbered(common)
     parted = written(own.join(held, "node", "left").mapInArrow(_parted, _PARTED), "parted")
     rare = parted.where("rest is null").select("f", "node", "size", "root")
     rare = _meeting_apart(rare, "root", ("node", "size")).where(_fit("size_a", "size_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
@@ -363,17 +442,18 @@ def _apart_pairs(sets: DataFrame, at: DataFrame) -> DataFrame:
     # a class within one component has that as its side
     classes = written(classes.select("class", F.col("best.node").alias("best"), F.col("best.root").alias("best_root"), "rest", "common", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("class")).alias("side")), "classes")
     stars = heavy.select("class", "node", "root").join(classes.select("class", "best", "best_root"), "class").where("root <> best_root").select("node", "best")
-    each = classes.select("class", F.explode("common").alias("f"))
+    each = classes.select("class", F.explode("common").alias("f")).join(F.broadcast(numbers) if common.count() <= MOST_BROADCAST else numbers, "f").select("class", F.col("number").alias("f"))
     first = each.join(each.groupBy("f").count(), "f").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("count", "f"))).alias("o"))
     # a pair's common features alone must reach 3/4 of the whole set, so the more others it has, the fewer of them may be missing
     alone = classes.groupBy("side").agg((F.count(F.lit(1)) == 1).alias("alone"))
     first = first.join(classes.select("class", "side", "rest"), "class").join(alone, "side").select("class", "side", "alone", F.size("o").alias("held"), (F.size("o") + F.col("rest")).alias("least"), F.expr(f"slice(o.f, 1, cast((size(o) * {UNDER - OVER} - rest * {OVER}) div {UNDER} as int) + 1)").alias("first"))
-    first = written(first, "first").select("*", F.explode("first").alias("f"))
+    # a row for each feature in front, with those before it
+    first = written(first, "first").select("class", "side", "alone", "held", "least", "first", F.posexplode("first").alias("at", "f")).withColumn("before", F.expr("slice(first, 1, at)")).drop("first", "at")
     # two classes share no more than the smaller one's common features, and meet at the first that both have in front
-    fits, here = f"{OVER + UNDER} * least(held_a, held_b) >= {OVER} * (least_a + least_b)", "array_intersect(first_a, first_b)[0] = f"
-    one, two = (first.select("f", *[F.col(x).alias(f"{x}_{k}") for x in ("class", "side", "alone", "held", "least", "first")]) for k in "ab")
+    fits, here = f"{OVER + UNDER} * least(held_a, held_b) >= {OVER} * (least_a + least_b)", "not arrays_overlap(before_a, before_b)"
+    one, two = (first.select("f", *[F.col(x).alias(f"{x}_{k}") for x in ("class", "side", "alone", "held", "least", "before")]) for k in "ab")
     near = one.join(two.where("alone_b"), "f").where("side_a <> side_b and (not alone_a or class_a < class_b)").where(fits).where(here).select("class_a", "class_b")
-    more = _meeting_apart(first.where("not alone"), "side", ("class", "first"), fits, held=F.max, least=F.min)
+    more = _meeting_apart(first.where("not alone"), "side", ("class", "before"), fits, held=F.max, least=F.min)
     near = near.union(more.where(here).select("class_a", "class_b"))
     for k in "ab":
         near = near.join(classes.select(*[F.col(x).alias(f"{x}_{k}") for x in ("class", "best", "rest", "common")]), f"class_{k}")
@@ -405,9 +485,18 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = partitions(docs.sparkSession, every, 2)
-    signed = every.mapInArrow(_sign, _ROW).repartition(n, F.coalesce("sig", "node")).sortWithinPartitions("sig", "node")
-    met = written(signed.mapInArrow(_meet, _FOUND), "met")
-    nodes = met.where(f"kind = {OWN}").select(F.col("a").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("b").alias("node"))
+    doubtful: frozenset[int] = frozenset()
+    while True:
+        signed = every.mapInArrow(_signer(doubtful), _ROW).repartition(n, F.coalesce("sig", "node")).sortWithinPartitions("sig", "node")
+        met = written(signed.mapInArrow(_meet, _FOUND), "met")
+        nodes = written(met.where(f"kind = {OWN}").select(F.col("a").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("b").alias("node"), F.col("center").alias("check")), "nodes")
+        # names that stand for several sets: of n sets some n * n / 2**65, none in practice
+        more = {r[0] for r in nodes.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("node").collect()}
+        if not more:
+            break
+        doubtful |= more
+        removed(met, nodes)
+    nodes = nodes.drop("check")
     # a set has few signatures, so a window over it is small whatever the crowds are
     mine = W.partitionBy("node")
     crowds = met.where(f"kind = {CROWDED}").select(F.col("a").alias("sig"), F.col("b").alias("node"), F.col("n").alias("size"), "least", "center", "center_size").distinct()
@@ -421,8 +510,9 @@ def groups(docs: DataFrame) -> DataFrame:
     stars = full.where("center <> node").where(_fit("size", "center_size")).select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b"))
     pairs_now = written(cold.union(stars).distinct(), "candidates")
     wanted = pairs_now.select(F.explode(F.array("a", "b")).alias("node")).union(full.select("node")).distinct()
-    sets = _sets_of(every, nodes, wanted)
+    sets = _sets_of(every, nodes, wanted, doubtful)
     links = written(_verified(sets, pairs_now), "links")
+    removed(met, pairs, pairs_now)
     if not full.isEmpty():
         roots = components(links)
         # crowds that aren't one component: some set isn't in its center's
@@ -432,11 +522,15 @@ def groups(docs: DataFrame) -> DataFrame:
         if not apart.isEmpty():
             at = full.join(apart, "sig", "left_semi").select("node", "size").distinct().join(roots, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"))
             links = written(links.union(_verified(sets, _apart_pairs(sets, written(at, "apart-sets")))), "links")
+    removed(crowds, sets)
     roots = components(links)
-    named = nodes.join(roots, "node", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")))
+    # equal sets are summed up before they meet the components, so a text that very many rows hold is one row
+    each = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("id")).join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    each = written(each, "each")
+    least = each.groupBy("root").agg(F.min("id").alias("component_id"))
+    least = written(each.join(least, "root").select("node", "component_id"), "named")
     # empty sets are components of their own
-    least = named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("node").alias("fingerprint"))
+    return nodes.join(least, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("node").alias("fingerprint"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -447,12 +541,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     shows that they are few (8 MB at the most), else joined by a shuffle.
     """
     g = written(groups(docs), "groups")
-    gone = g.where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first")).where("first = 0").select("_gone")
+    name = free(docs, "gone")[0]
+    gone = g.where("doc_id is not null").groupBy(F.col("doc_id").alias(name)).agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first")).where("first = 0").select(name)
     gone = written(gone, "gone")
     few = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
-    kept = docs.join(few, docs["doc_id"].cast("long") == few["_gone"], "left_anti")
+    kept = docs.join(few, docs["doc_id"].cast("long") == few[name], "left_anti")
     again = g.where("doc_id is not null").groupBy("doc_id", "fingerprint").count().where("count > 1")
     if again.isEmpty():
         return kept
-    order = W.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return kept.withColumn("_row", F.row_number().over(order)).where("_row = 1 or doc_id is null").drop("_row")
+    row = free(kept, "row")[0]
+    order = W.partitionBy("doc_id", F.xxhash64("text"), F.crc32(F.col("text").cast("string").cast("binary"))).orderBy("doc_id")
+    return kept.withColumn(row, F.row_number().over(order)).where(f"{row} = 1 or doc_id is null").drop(row)
