@@ -19,7 +19,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batch, pieces, texts, turn_to
+from .common import batch, pieces, texts, work
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -33,10 +33,11 @@ def ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encodes and decodes by ``ranks``; ``pattern`` cuts the text into pieces that are encoded alone.
 
-    ``most_pieces`` bounds the memory of remembered pieces; beyond it they are forgotten and found anew.
+    ``most_pieces`` and ``most_pairs`` bound the memory of remembered pieces and of pairs whose
+    compatibility is known; beyond it they are forgotten and found anew.
     """
 
-    def __init__(self, vocabulary: dict[bytes, int], pattern: str, most_pieces: int = 250_000):
+    def __init__(self, vocabulary: dict[bytes, int], pattern: str, most_pieces: int = 200_000, most_pairs: int = 200_000):
         self.ids = vocabulary
         self.bytes_of = {i: b for b, i in vocabulary.items()}
         self.find = regex.compile(pattern).findall
@@ -46,7 +47,8 @@ class Codec:
         self.machine.make_automaton()
         self.by_text = {b.decode("latin-1"): i for b, i in vocabulary.items()}
         self.halves: dict[int, tuple[int, int]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by left * 2**32 + right
+        self.most_pairs = most_pairs
         self.shorter: dict[int, int] = {}
         whole = {}
         for b, i in vocabulary.items():
@@ -82,11 +84,11 @@ class Codec:
         Undoes the later of the two merges again and again: on the seam between them no
         merge may exist that comes before the merges undone so far.
         """
-        key = (left, right)
+        key = left << 32 | right
         got = self.fits.get(key)
         if got is not None:
             return got
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > self.most_pairs:
             self.fits.clear()
         before, a, b, bytes_of, ids = 1 << 62, left, right, self.bytes_of, self.ids
         while True:
@@ -168,9 +170,12 @@ class _Remembered(dict):
 _CODECS: dict[str, Codec] = {}
 
 
+def _forget() -> None:
+    _CODECS.clear()
+
+
 def codec(path: str | None = None) -> Codec:
     """The codec of a vocabulary file, made once in a Python worker."""
-    turn_to("bpe", _CODECS.clear)
     path = path or public_tokenizers.path(VOCABULARY)
     if path not in _CODECS:
         _CODECS[path] = Codec(ranks(path), public_tokenizers.PATTERN)
@@ -185,6 +190,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     rows and other columns are carried or left aside without effect; an empty table gives none.
     """
 
+    @work("bpe", _forget)
     def run(batches):
         coder = codec(path)
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -203,9 +209,10 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and the ids of every row's whole text as array<int>; nulls as in ``encode_documents``."""
 
+    @work("bpe", _forget)
     def run(batches):
         coder = codec(path)
-        for x in batches:
+        for x in pieces(batches, 1000):
             yield batch(pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]), x.column(0), [coder.encode(t)[1] for t in texts(x.column(1))])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -214,9 +221,10 @@ def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
 def decode_ids(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and the decoded bytes of ``ids``; null ids decode to no bytes, an id outside the vocabulary fails."""
 
+    @work("bpe", _forget)
     def run(batches):
         coder = codec(path)
-        for x in batches:
+        for x in pieces(batches, 1000):
             yield batch(pa.schema([("doc_id", pa.int64()), ("data", pa.binary())]), x.column(0), [coder.decode(t or []) for t in x.column(1).to_pylist()])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")

@@ -37,11 +37,11 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     at = fresh(spark, name)
-    df.write.parquet(at, compression=compression)
+    df.write.options(**options).parquet(at)
     table = spark.read.schema(df.schema).parquet(at)
     table.written_at = at
     return table
@@ -70,6 +70,13 @@ def partitions(spark: SparkSession, df: DataFrame, factor: float = 1.0) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(df.rdd.getNumPartitions() * factor), 1)
 
 
+def with_texts(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """(``docs``, the place of its texts as strings, its own columns): a text column of another type gets a string column beside it."""
+    if dict(docs.dtypes)["text"] == "string":
+        return docs, docs.columns.index("text"), len(docs.columns)
+    return docs.withColumn(free(docs, "text_")[0], F.col("text").cast("string")), len(docs.columns), len(docs.columns)
+
+
 def texts(column: pa.Array) -> list[str]:
     """The texts of an Arrow column, null read as the empty text."""
     return [x or "" for x in column.to_pylist()]

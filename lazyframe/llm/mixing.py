@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, pieces, texts, turn_to, written
+from .common import batch, free, pieces, texts, with_texts, work, written
 
 BUCKETS = 1 << 15
 
@@ -45,15 +45,14 @@ class Classifier:
 
     def posteriors(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(a row of posteriors a text, words a text)."""
-        turn_to("mixing", _BUCKETS.clear)
-        at, out, n = _BUCKETS, np.zeros((len(many), len(self.domains))), np.zeros(len(many), np.int64)
+        out, n = np.zeros((len(many), len(self.domains))), np.zeros(len(many), np.int64)
         for k, text in enumerate(many):
             words = _words(text)
             n[k] = len(words)
             z = self.log_prior
             if words:
-                seen = np.bincount(list(map(at.__getitem__, words)), minlength=BUCKETS) if len(words) > 4096 else None
-                total = seen @ self.table if seen is not None else self.table[list(map(at.__getitem__, words))].sum(0)
+                at = _places(words)
+                total = np.bincount(at, minlength=BUCKETS) @ self.table if len(words) > 4096 else self.table[at].sum(0)
                 z = z + total * (min(len(words), self.evidence) / len(words))
             e = np.exp(z - z.max())
             out[k] = e / e.sum()
@@ -63,24 +62,36 @@ class Classifier:
 _BUCKETS = _Buckets()
 
 
-def learn_classifier(docs: DataFrame, labelled: DataFrame, most_labelled: int = 20_000, most_domains: int = 64, evidence: float = 12.0) -> Classifier:
-    """From ``labelled`` (doc_id, domain): at most ``most_labelled`` rows of the least hash teach; null ids and domains don't."""
+def _forget() -> None:
+    _BUCKETS.clear()
+
+
+def _places(words: list[str]) -> list[int]:
+    return list(map(_BUCKETS.__getitem__, words))
+
+
+def learn_classifier(docs: DataFrame, labelled: DataFrame, most_labelled: int = 20_000, most_domains: int = 64, evidence: float = 12.0) -> Classifier | None:
+    """From ``labelled`` (doc_id, domain): at most ``most_labelled`` rows of the least hash teach; null ids and domains don't.
+    None if there is no usable row."""
     spark = docs.sparkSession
     rows = labelled.where("doc_id is not null and domain is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id", F.lit("mix")), "doc_id").limit(most_labelled).collect()
     domains = sorted({r["domain"] for r in rows})
-    if not domains or len(domains) > most_domains:
-        raise ValueError(f"there are {len(domains)} domains; from 1 to {most_domains} can be mixed")
+    if not domains:
+        return None
+    if len(domains) > most_domains:
+        raise ValueError(f"there are {len(domains)} domains; up to {most_domains} can be mixed")
     number = {x: k for k, x in enumerate(domains)}
     table = spark.createDataFrame([(r["doc_id"], number[r["domain"]]) for r in rows], "doc_id long, domain int")
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(table), "doc_id").select("domain", "text")
 
+    @work("mixing", _forget)
     def run(batches):
         counts = np.zeros((len(domains), BUCKETS), np.int64)
-        for x in batches:
+        for x in pieces(batches, 1000):
             for k, text in zip(x.column(0).to_pylist(), texts(x.column(1)), strict=True):
                 words = _words(text)
                 if words:
-                    counts[k] += np.bincount(list(map(_BUCKETS.__getitem__, words)), minlength=BUCKETS)
+                    counts[k] += np.bincount(_places(words), minlength=BUCKETS)
         k, at = counts.nonzero()
         yield batch(pa.schema([("domain", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())]), k.astype(np.int32), at.astype(np.int32), counts[k, at])
 
@@ -118,9 +129,8 @@ class Mix:
     def __init__(self, classifier: Classifier, targets: np.ndarray, history: list, reached: np.ndarray, least: float = 0.0):
         self.classifier, self.targets, self.history, self.reached, self.least = classifier, targets, history, reached, least
 
-    def of(self, many: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        p, n = self.classifier.posteriors(many)
-        return p, n, rates(p, self.history, self.least)[0]
+    def of(self, many: list[str]) -> np.ndarray:
+        return rates(self.classifier.posteriors(many)[0], self.history, self.least)[0]
 
 
 def gaps(reached: np.ndarray, targets: np.ndarray, shares: np.ndarray) -> np.ndarray:
@@ -129,17 +139,20 @@ def gaps(reached: np.ndarray, targets: np.ndarray, shares: np.ndarray) -> np.nda
     return np.abs(reached - targets) / np.where(of > 0, of, 1.0)
 
 
-def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, most_rounds: int = 60, tolerance: float = 1e-4, keep_all: bool = False) -> tuple[Mix, DataFrame]:
+def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, most_rounds: int = 60, tolerance: float = 1e-4, keep_all: bool = False) -> tuple[Mix, DataFrame] | None:
     """The mix, and (doc_id, chance, n, p) of every row, kept in the shared folder.
 
     ``weights``: domain -> share wanted (summing to 1); without it ``temperature_targets`` of the present shares.
     Steps go on until each domain is within ``tolerance`` of its own target. Some targets can't be met, as one
     beyond what any document's posterior gives; a warning then names the domains with target and tokens reached.
     ``keep_all``: no rate is below 1 where no target is below a domain's present tokens. Soft posteriors then
-    bring the domains that don't grow a little beyond their targets."""
+    bring the domains that don't grow a little beyond their targets. None without a usable row in ``labelled``."""
     classifier = learn_classifier(docs, labelled)
+    if classifier is None:
+        return None
     k = len(classifier.domains)
 
+    @work("mixing", _forget)
     def run(batches):
         for x in pieces(batches, 1000):
             p, n = classifier.posteriors(texts(x.column(1)))
@@ -151,6 +164,7 @@ def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | No
     def sums(history: list) -> tuple[np.ndarray, np.ndarray]:
         """The domains' tokens at the present rates, and at the point of the next gradient."""
 
+        @work("mixing", _forget)
         def run(batches):
             total = np.zeros(2 * k)
             for x in batches:
@@ -168,6 +182,7 @@ def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | No
         rows = table.select("n", "p").mapInArrow(run, "x array<double>").collect()  # at most 1 + k * k numbers a task
         return np.sum([r[0] for r in sorted(rows)], axis=0) if rows else np.zeros(size)
 
+    @work("mixing", _forget)
     def moments(batches):
         total = np.zeros(1 + k * k)
         for x in batches:
@@ -207,40 +222,54 @@ def fit_mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | No
 
 def _chance() -> F.Column:
     """A number in [0, 1) that follows from the row's id and text."""
-    return F.pmod(F.xxhash64("doc_id", "text", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def mix_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, n_tokens, domain, posterior, rate, copies of every row.
-
-    ``copies`` is the rate rounded down, or up with the chance of its fraction. Null and
-    empty texts have no tokens and the prior as posterior; repeated rows have equal rates;
-    null ids are rows like others; an empty table, or a labelled one without a usable row,
-    can't be mixed and raises ValueError (an empty ``docs`` with labels gives no row).
+    """doc_id, n_tokens, domain, posterior, rate, copies, target, reached of every row.
+
+    ``copies`` is the rate rounded down, or up with the chance of its fraction; ``target`` and
+    ``reached`` are the tokens of the row's domain, as multiples of all present tokens, so a
+    target that was missed shows in the result. Null and empty texts have no tokens and the
+    prior as posterior; repeated rows have equal rates; null ids are rows like others; an
+    empty table gives no row. Where ``labelled`` has no usable row nothing is known: domain,
+    target and reached are null, the posterior is empty, and each row stays once.
     """
-    mix, table = fit_mix(docs, labelled, weights)
+    fitted = fit_mix(docs, labelled, weights)
+    if fitted is None:
+        words = F.split(F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\s+", " ")), " ")
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(words, lambda w: w != "")).cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"), F.lit(None).cast("double").alias("target"), F.lit(None).cast("double").alias("reached"))
+    mix, table = fitted
 
+    @work("mixing", _forget)
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("domain", pa.string()), ("posterior", pa.list_(pa.float64())), ("rate", pa.float64()), ("chance", pa.float64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("domain", pa.string()), ("posterior", pa.list_(pa.float64())), ("rate", pa.float64()), ("chance", pa.float64()), ("target", pa.float64()), ("reached", pa.float64())])
         for x in batches:
             p = x.column(3).flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, len(mix.classifier.domains))
-            yield batch(schema, x.column(0), x.column(2), [mix.classifier.domains[k] for k in p.argmax(1)], x.column(3), rates(p, mix.history)[0], x.column(1))
+            best = p.argmax(1)
+            yield batch(schema, x.column(0), x.column(2), [mix.classifier.domains[k] for k in best], x.column(3), rates(p, mix.history)[0], x.column(1), mix.targets[best], mix.reached[best])
 
-    out = table.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior array<double>, rate double, chance double")
-    return out.withColumn("copies", (F.floor("rate") + (F.col("chance") < F.col("rate") - F.floor("rate")).cast("long")).cast("int")).drop("chance")
+    out = table.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior array<double>, rate double, chance double, target double, reached double")
+    copies = (F.floor("rate") + (F.col("chance") < F.col("rate") - F.floor("rate")).cast("long")).cast("int").alias("copies")
+    return out.select("doc_id", "n_tokens", "domain", "posterior", "rate", copies, "target", "reached")
 
 
 def mixed_documents(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, keep_all: bool = False) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as its copies say; see ``mix_rates``, and ``fit_mix`` for ``keep_all``."""
-    mix, _ = fit_mix(docs, labelled, weights, keep_all=keep_all)
-
-    @F.pandas_udf("double")
-    def rate(text):
-        import pandas as pd
-
-        return pd.Series(mix.of([t or "" for t in text])[2])
+    fitted = fit_mix(docs, labelled, weights, keep_all=keep_all)
+    if fitted is None:
+        return docs
+    mix = fitted[0]
+    d, at, width = with_texts(docs)
+    d = d.withColumn(free(d, "chance")[0], _chance())
+
+    @work("mixing", _forget)
+    def copied(batches):
+        for x in pieces(batches, 1000):
+            r, chance = mix.of(texts(x.column(at))), x.column(x.num_columns - 1).to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(x.num_rows), (np.floor(r) + (chance < r - np.floor(r))).astype(np.int64))
+            own = x.select(list(range(width)))
+            for k in range(0, len(rows), 1000):
+                yield own.take(pa.array(rows[k : k + 1000]))
 
-    r = rate(F.col("text").cast("string"))
-    names = docs.columns
-    x = docs.withColumn("_rate", r).withColumn("_copies", (F.floor("_rate") + (_chance() < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int"))
-    return x.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    return d.mapInArrow(copied, docs.schema)

@@ -48,7 +48,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return surrogates.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogates.session_key(spark))
 
 
 def op9_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, crc_of_id, texts, turn_to
+from .common import batch, crc_of_id, pieces, texts, with_texts, work
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[.!?\n]")
@@ -28,6 +28,8 @@ REPORTING = frozenset("said says quote quoted wrote called term word sagte sagt
 WINDOW = 40
 SHORTEST_FUZZY = 5
 FEATURES = 7
+#: Words and states of the automaton that a worker remembers; beyond it they are forgotten and found anew.
+MOST_WORDS, MOST_STATES = 150_000, 100_000
 
 
 class Machine:
@@ -54,11 +56,14 @@ class Machine:
         self.reach = [0] * len(self.next)  # the most edits that any term below a node allows
         for node in range(len(self.next) - 1, -1, -1):
             self.reach[node] = max([self.ends.get(node, (0, 0))[1], *(self.reach[k] for k in self.next[node].values())])
+        self.known: dict[str, tuple[float, int] | None] = {}
+        self._begin()
+
+    def _begin(self) -> None:
         self.states: list[tuple] = []
         self.numbers: dict[tuple, int] = {}
         self.steps: list[dict[str, int]] = []
         self.start = self._state(self._skipped({0: 0}))
-        self.known: dict[str, tuple[float, int] | None] = {}
 
     def _skipped(self, found: dict[int, int]) -> dict[int, int]:
         """With the places reached by leaving out letters of the term."""
@@ -98,6 +103,8 @@ class Machine:
             return self.known[word]
         except KeyError:
             pass
+        if len(self.states) > MOST_STATES:
+            self._begin()
         state, best, stems = self.start, None, self.stems
         for c in word:
             to = self.steps[state].get(c)
@@ -117,7 +124,7 @@ class Machine:
                     weight = self.ends[node][0]
                     if best is None or (e, -weight) < (best[1], -best[0]):
                         best = (weight, e)
-        if len(self.known) > 150_000:
+        if len(self.known) > MOST_WORDS:
             self.known.clear()
         self.known[word] = best
         return best
@@ -165,13 +172,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: F.Column, mos
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(table), "doc_id")
 
 
+@work("toxicity")
 def _evidence(batches):
     """A word or a beginning of one, the label, and a sketch of the text that near copies mostly share."""
     schema = pa.schema([("term", pa.string()), ("y", pa.int32()), ("sketch", pa.int64())])
-    for x in batches:
+    for x in pieces(batches, 500):
         terms, ys, sketches = [], [], []
         for y, text in zip(x.column(0).to_pylist(), texts(x.column(1)), strict=True):
-            words = {w for w in WORD.findall(text.lower()) if len(w) <= 40}
+            words = set(WORD.findall(text.lower()))
             if not words:
                 continue
             sketch = min(zlib.crc32(w.encode()) for w in words)
@@ -182,11 +190,11 @@ def _evidence(batches):
         yield batch(schema, terms, ys, sketches)
 
 
-def learn_lexicon(sample: DataFrame, least: int = 3, least_ratio: float = 12.0, most_terms: int = 3000) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, least: int = 3, least_ratio: float = 12.0) -> dict[str, float]:
     """term -> log odds, of words and stems (``abc*``) that mark toxic texts.
 
     Support is counted in different sketches, so copies of one text count once. Counted
-    on the executors; only terms that pass, ``most_terms`` at most, reach the driver.
+    on the executors; only terms that pass reach the driver, which the bounded sample bounds.
     """
     counts = sample.select("y", "text").mapInArrow(_evidence, "term string, y int, sketch long").distinct().groupBy("term").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     sizes = sample.groupBy("y").count().collect()
@@ -195,15 +203,18 @@ def learn_lexicon(sample: DataFrame, least: int = 3, least_ratio: float = 12.0,
     if not bad:
         return {}
     odds = F.log((F.col("bad") + 0.1) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    rows = counts.where(F.col("bad") >= least).select("term", "bad", odds.alias("w")).where(F.col("w") >= float(np.log(least_ratio))).orderBy(F.desc("bad"), F.desc("w"), "term").limit(most_terms).collect()
+    rows = counts.where(F.col("bad") >= least).select("term", "bad", odds.alias("w")).where(F.col("w") >= float(np.log(least_ratio))).orderBy(F.desc("bad"), F.desc("w"), "term").collect()
     terms: dict[str, float] = {}
     stems = {r["term"]: r["bad"] for r in rows if r["term"].endswith("*")}
-    words = {r["term"]: r["bad"] for r in rows if not r["term"].endswith("*")}
+    below: dict[str, int] = {}  # of a beginning, the support of the most frequent word
+    for r in rows:
+        for k in (4, 5, 6) if not r["term"].endswith("*") else ():
+            below[r["term"][:k]] = max(r["bad"], below.get(r["term"][:k], 0))
     for r in rows:
         t = r["term"]
         if t.endswith("*"):
             # a stem must say more than the most frequent word below it, and isn't needed below a shorter one
-            top = max((b for w, b in words.items() if w.startswith(t[:-1])), default=0)
+            top = below.get(t[:-1], 0)
             shorter = any(f"{t[:k]}*" in stems and stems[f"{t[:k]}*"] >= 0.9 * r["bad"] for k in range(4, len(t) - 1))
             if r["bad"] >= 1.5 * top and not shorter:
                 terms[t] = r["w"]
@@ -236,9 +247,10 @@ def train(docs: DataFrame, labels: DataFrame, fold: F.Column, most: int = 30_000
     sample = labelled(docs, labels, "toxic", fold, most).persist()
     terms = learn_lexicon(sample)
 
+    @work("toxicity")
     def run(batches):
         machine = Machine(terms)
-        for x in batches:
+        for x in pieces(batches, 1000):
             yield batch(pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))]), x.column(0), [features(t, machine) for t in texts(x.column(1))])
 
     rows = sample.select("y", "text").mapInArrow(run, "y int, x array<double>").collect()
@@ -253,43 +265,36 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_labelled: int = 30_0
 
     Labels teach only where crc32(doc_id) mod 4 isn't 2. Null texts count as empty and get
     the score of a text without hits; null ids are never held out; repeated rows are scored
-    alike; without labels the prior weights and an empty lexicon hold; other columns are ignored.
+    alike; without labels the prior weights and an empty lexicon hold; other columns are ignored;
+    an empty table gives no row. A very long text is read whole, by its different words first.
     """
     terms, weights = train(docs, labels, crc_of_id() % 4 != 2, most_labelled)
 
+    @work("toxicity")
     def run(batches):
         machine = Machine(terms)
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
-        for x in batches:
-            f = np.array([features(t, machine) for t in texts(x.column(2))]).reshape(-1, FEATURES)
-            yield batch(schema, x.column(0), x.column(1), 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30))))
+        for x in pieces(batches, 1000):
+            yield batch(schema, x.column(0), x.column(1), scores(texts(x.column(2)), machine, weights))
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_of_id() % 4 == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return d.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def scores(many: list[str], machine: Machine, weights: np.ndarray) -> np.ndarray:
+    f = np.array([features(t, machine) for t in many]).reshape(-1, FEATURES)
+    return 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30)))
+
+
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text isn't predicted toxic; see ``score_toxicity``."""
     terms, weights = train(docs, labels, crc_of_id() % 4 != 2)
+    d, at, width = with_texts(docs)
 
-    @F.pandas_udf("boolean")
-    def clean(text):
-        import pandas as pd
-
-        machine = _machine(terms)
-        f = np.array([features(t or "", machine) for t in text]).reshape(-1, FEATURES)
-        return pd.Series(1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30))) < 0.3)
-
-    return docs.where(clean(F.col("text").cast("string")))
-
-
-_MACHINES: dict = {}
-
+    @work("toxicity")
+    def clean(batches):
+        machine = Machine(terms)
+        for x in pieces(batches, 1000):
+            yield x.filter(pa.array(scores(texts(x.column(at)), machine, weights) < 0.3)).select(list(range(width)))
 
-def _machine(terms: dict[str, float]) -> Machine:
-    turn_to("toxicity", _MACHINES.clear)
-    key = hash(tuple(sorted(terms.items())))
-    if key not in _MACHINES:
-        _MACHINES.clear()
-        _MACHINES[key] = Machine(terms)
-    return _MACHINES[key]
+    return d.mapInArrow(clean, docs.schema)
