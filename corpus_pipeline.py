@@ -21,7 +21,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with surrogates in their texts."""
-    return surrogates.with_surrogates(docs).drop("n_entities")
+    return surrogates.with_surrogates(docs, surrogates.session_key(spark)).drop("n_entities")
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
