@@ -93,6 +93,8 @@ def mentions(text: str) -> list[Mention]:
             whole = text[start:end]
             if kind in ("phone", "card", "ssn"):
                 entity = re.sub(r"\D", "", whole)
+                if kind == "card" and _luhn(entity):  # some other long number
+                    continue
             elif kind == "iban":
                 entity = whole.replace(" ", "")
             else:
