@@ -2,8 +2,10 @@
 
 A shard is three files in the shared folder: ``<n>.ids`` holds the ids of its documents
 one after the other and nothing else (16-bit little-endian where the vocabulary allows,
-else 32-bit); ``<n>.off`` the first id of each row and the end, as 64-bit integers;
-``<n>.mph`` a minimal perfect hash from key to row with a 32-bit fingerprint a key.
+else 32-bit); ``<n>.off`` in 64-bit integers a mark, the bytes an id has, how many rows
+have no key (they come first), and then the first id of each row and the end;
+``<n>.mph`` a minimal perfect hash from key to row with a 32-bit fingerprint a key. Any
+64-bit integer may be a key.
 The hash is a cascade of bit arrays (as in BBHash, Limasset et al. 2017): a key that is
 alone at its bit stays there, the others go on to the next array, and the rank of a bit
 is the key's number. A lookup reads a few words, whatever the size.
@@ -11,6 +13,8 @@ is the key's number. A lookup reads a few words, whatever the size.
 
 from __future__ import annotations
 
+import bisect
+import json
 import struct
 import zlib
 
@@ -21,11 +25,12 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, fresh, mixed, partitions, texts, written
+from .common import batch, fresh, mixed, partitions, pieces, texts, work, written
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
-NULL_KEY = -(1 << 63)
+#: The first number of an offsets file.
+MARK = 0x5344494E454B4F54
 
 
 class PerfectHash:
@@ -105,8 +110,22 @@ class PerfectHash:
         return cls(parts[0], parts[1], parts[3], parts[2])
 
 
-#: Probe texts: where a tokenizer fails on one of them, the shorter ways below aren't taken.
-PROBES = ("One two, three.\nFOUR  five", "Größe Ñandú déjà vu.", "a. b, c.d e,f g.. h.,", "it's I'LL <|x|> 12,5 ... -- ñ.", "ÀÉÎÕÜ straße µm ªº", "naïve.Word ok")
+#: The parts of a tokenizer file that drop blanks, join nothing across them, lower letters and use the byte alphabet.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def parts_at_blanks(tokenizer) -> bool:
+    """Whether the tokenizer's own file says that texts may be encoded word by word, and words of Latin-1 letters by the merges alone."""
+    told = json.loads(tokenizer.to_str())
+    added = [t for t in told.get("added_tokens") or [] if t["content"].isalpha() or t["lstrip"] or t["rstrip"] or t["normalized"] or any(c.isspace() for c in t["content"])]
+    return not added and told["normalizer"] == NORMALIZER and told["pre_tokenizer"] == PRE_TOKENIZER and told["post_processor"] is None and told["truncation"] is None and told["padding"] is None and told["model"]["type"] == "BPE" and not told["model"]["dropout"]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -119,32 +138,21 @@ def _byte_letters() -> dict[int, str]:
 class _Words(dict):
     """Ids (as bytes) of texts without blanks, by the tokenizers library; kept up to a bound.
 
-    A word of Latin-1 letters needs no more than lower case and the byte alphabet before
-    the library's merges, so it goes straight to them; any other goes through the whole
-    tokenizer. ``by_words`` says whether texts may be cut at blanks at all.
+    Where the tokenizer's file allows it (``parts_at_blanks``), texts are cut at blanks, and
+    a word of Latin-1 letters, which needs no more than lower case and the byte alphabet
+    before the library's merges, goes straight to them; any other word, and with any other
+    tokenizer the whole text, goes through the library.
     """
 
-    def __init__(self, tokenizer, kind: str, most: int = 700_000):
+    def __init__(self, tokenizer, kind: str, most: int = 400_000):
         super().__init__()
         self.tokenizer, self.kind, self.most, self.letters = tokenizer, kind, most, _byte_letters()
-        self.model, self.direct = tokenizer.model, True
-        whole = [self._whole(t) for t in PROBES]
-        try:
-            self.direct = [b"".join(map(self._word, _split(t))) for t in PROBES] == whole
-        except Exception as e:  # the model doesn't know the alphabet: another kind of tokenizer
-            if not isinstance(e, (KeyError, ValueError)):
-                raise
-            self.direct = False
-        self.clear()
-        self.by_words = self.direct or [b"".join(map(self._word, _split(t))) for t in PROBES] == whole
-        self.clear()
+        self.model, self.by_words = tokenizer.model, parts_at_blanks(tokenizer)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if not self.direct:
-            return self._whole(word)
         end = word[-1:]
         core = word[:-1] if (end == "." or end == ",") else word
         if core.isalpha():
@@ -170,6 +178,10 @@ class _Words(dict):
 _TOKENIZERS: dict = {}
 
 
+def _forget() -> None:
+    _TOKENIZERS.clear()
+
+
 def _words(path: str, kind: str) -> _Words:
     if (path, kind) not in _TOKENIZERS:
         from tokenizers import Tokenizer
@@ -195,12 +207,13 @@ def _get(uri: str) -> bytes:
 def write_token_files(docs: DataFrame, to: str, tokenizer: str | None = None, end_id: int = END, shards: int | None = None) -> DataFrame:
     """Encodes every row's whole text and writes the shards to ``to`` (a URI that all executors reach).
 
-    Rows go by range of doc_id (nulls first) to shards and lie there in ascending order;
-    one range exchange of the texts. Returns a table of rows (doc_id, occurrence, shard,
-    n_tokens), kept in the shared folder. Rows with the same id lie next to each other,
-    ordered by text and told apart by ``occurrence``. Null texts count as empty: only the
-    end id. An empty table writes nothing. Texts are encoded word by word only where the
-    tokenizer drops blanks and never joins across them.
+    Rows go by range of doc_id (nulls first), and of a hash of the text among equal ids, to
+    shards and lie there in ascending order; one range exchange of the texts. An id that very
+    many rows have spreads over shards. Returns a table of rows (doc_id, occurrence, shard,
+    n_tokens), kept in the shared folder. Rows with the same id lie next to each other and
+    are told apart by shard and ``occurrence``. Null texts count as empty: only the end id;
+    other columns are left aside. An empty table writes nothing. Texts are encoded word by
+    word only where the tokenizer drops blanks and never joins across them.
     """
     from tokenizers import Tokenizer
 
@@ -208,6 +221,7 @@ def write_token_files(docs: DataFrame, to: str, tokenizer: str | None = None, en
     spark = docs.sparkSession
     kind = "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
 
+    @work("token-files", _forget)
     def run(batches):
         from pyspark import TaskContext
 
@@ -215,13 +229,14 @@ def write_token_files(docs: DataFrame, to: str, tokenizer: str | None = None, en
         shard = TaskContext.get().partitionId()
         store, folder = arrow_fs.FileSystem.from_uri(to)
         words, end = _words(path, kind), np.array([end_id], kind).tobytes()
-        width, counts, keys, name = np.dtype(kind).itemsize, [], [], f"{folder}/{shard}.ids.{np.random.default_rng().integers(1 << 62):x}"
+        width, counts, keys, nulls, name = np.dtype(kind).itemsize, [], [], 0, f"{folder}/{shard}.ids.{np.random.default_rng().integers(1 << 62):x}"
         out = None
-        for x in batches:
+        for x in pieces(batches, 1000):
             if out is None:
                 store.create_dir(folder, recursive=True)
                 out = store.open_output_stream(name)
-            keys.append(x.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False))
+            nulls += x.column(0).null_count
+            keys.append(x.column(0).drop_null().to_numpy(zero_copy_only=False))
             for text in texts(x.column(1)):
                 data = words.encode(text)
                 out.write(data)
@@ -232,16 +247,16 @@ def write_token_files(docs: DataFrame, to: str, tokenizer: str | None = None, en
         out.close()
         store.move(name, f"{folder}/{shard}.ids")
         key, n = np.concatenate(keys), np.array(counts, np.int64)
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        row = np.flatnonzero(first)
-        _put(store, f"{folder}/{shard}.off", np.concatenate([[0], np.cumsum(n)]).astype("<i8").tobytes())
-        _put(store, f"{folder}/{shard}.mph", PerfectHash.build(key[row], row).dump())
-        occurrence = np.arange(len(key)) - np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-        yield batch(schema, pa.array(key, mask=key == NULL_KEY), occurrence, np.full(len(key), shard), n)
+        row = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        _put(store, f"{folder}/{shard}.off", np.concatenate([[MARK, width, nulls, 0], np.cumsum(n)]).astype("<i8").tobytes())
+        _put(store, f"{folder}/{shard}.mph", PerfectHash.build(key[row], row + nulls).dump())
+        occurrence = np.concatenate([np.arange(nulls), np.arange(len(key)) - np.repeat(row, np.diff(np.concatenate([row, [len(key)]])))])
+        yield batch(schema, pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(key, pa.int64())]), occurrence, np.full(len(n), shard), n)
 
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     n = shards or partitions(spark, d)
-    dealt = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    dealt = d.repartitionByRange(n, *by).sortWithinPartitions(*by, "text")
     return written(dealt.mapInArrow(run, "doc_id long, occurrence long, shard long, n_tokens long"), "token-rows")
 
 
@@ -250,7 +265,24 @@ def _split(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
-def read_token_files(rows: DataFrame, at: str, width: int = 2) -> DataFrame:
+class _Shard:
+    """The index and offsets of one shard, and its ids if asked for."""
+
+    def __init__(self, at: str, shard: int, ids: bool = False):
+        head = np.frombuffer(_get(f"{at}/{shard}.off"), "<i8")
+        if len(head) < 4 or head[0] != MARK:
+            raise ValueError(f"{at}/{shard}.off is no offsets file")
+        self.kind, self.nulls, self.offsets = f"<u{head[1]}", int(head[2]), head[3:]
+        self.index = PerfectHash.load(_get(f"{at}/{shard}.mph"))
+        self.ids = np.frombuffer(_get(f"{at}/{shard}.ids"), self.kind) if ids else None
+
+    def row(self, keys: pa.Array) -> np.ndarray:
+        """The first row of each key, -1 where there is none."""
+        out = self.index.lookup(keys.fill_null(0).to_numpy(zero_copy_only=False))
+        return np.where(keys.is_null().to_numpy(zero_copy_only=False), 0 if self.nulls else -1, out)
+
+
+def read_token_files(rows: DataFrame, at: str) -> DataFrame:
     """Reads each row of ``rows`` (doc_id, occurrence, shard) by its key from the files in ``at``.
 
     Returns doc_id, start, n_tokens, ids_crc32. ``start`` counts the ids before the row over
@@ -262,22 +294,21 @@ def read_token_files(rows: DataFrame, at: str, width: int = 2) -> DataFrame:
     for shard in sorted(totals):
         start[shard] = before
         before += totals[shard]
-    kind = f"<u{width}"
 
+    @work("token-files", _forget)
     def run(batches):
         open_, held = None, None
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
         for x in batches:
             shards = x.column(2).to_numpy(zero_copy_only=False)
-            keys = x.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False)
-            out_start, out_n, out_crc = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            keys = x.column(0)
+            out_start, out_n, out_crc = (np.zeros(len(keys), np.int64) for _ in range(3))
             for shard in np.unique(shards):
                 mine = np.flatnonzero(shards == shard)
                 if shard != open_:
-                    held = (PerfectHash.load(_get(f"{at}/{shard}.mph")), np.frombuffer(_get(f"{at}/{shard}.off"), "<i8"), np.frombuffer(_get(f"{at}/{shard}.ids"), kind))
-                    open_ = shard
-                index, offsets, ids = held
-                row = index.lookup(keys[mine])
+                    held, open_ = _Shard(at, shard, True), shard
+                offsets, ids = held.offsets, held.ids
+                row = held.row(keys.take(pa.array(mine)))
                 if (row < 0).any():
                     raise ValueError(f"shard {shard} lacks a key that was written to it")
                 row = row + x.column(1).to_numpy(zero_copy_only=False)[mine]
@@ -292,23 +323,31 @@ def read_token_files(rows: DataFrame, at: str, width: int = 2) -> DataFrame:
 class TokenStore:
     """Keyed access from one process: the shard by the ranges of ids, then the hash, two offsets and one range read."""
 
-    def __init__(self, rows: DataFrame, at: str, width: int = 2):
-        self.at, self.kind, self.width, self.open = at, f"<u{width}", width, {}
-        self.ranges = [(r[1], r[2], r[0]) for r in rows.groupBy("shard").agg(F.min(F.coalesce("doc_id", F.lit(NULL_KEY))), F.max(F.coalesce("doc_id", F.lit(NULL_KEY)))).orderBy("shard").collect()]
+    def __init__(self, rows: DataFrame, at: str):
+        ranges = rows.groupBy("shard").agg(F.max("doc_id")).orderBy("shard").collect()  # one row a shard
+        self.at, self.open = at, {}
+        self.shards = [r[0] for r in ranges]
+        self.last = [-(1 << 63) if r[1] is None else r[1] for r in ranges]  # ascending; a shard of null ids only comes first
 
     def get(self, doc_id: int | None) -> np.ndarray | None:
         """The ids of the first row with this id, or None."""
-        key = NULL_KEY if doc_id is None else doc_id
-        for low, high, shard in self.ranges:
-            if low <= key <= high:
-                if shard not in self.open:
-                    self.open[shard] = (PerfectHash.load(_get(f"{self.at}/{shard}.mph")), np.frombuffer(_get(f"{self.at}/{shard}.off"), "<i8"))
-                index, offsets = self.open[shard]
-                row = int(index.lookup([key])[0])
-                if row >= 0:
-                    store, path = arrow_fs.FileSystem.from_uri(f"{self.at}/{shard}.ids")
-                    with store.open_input_file(path) as f:
-                        return np.frombuffer(f.read_at(int(offsets[row + 1] - offsets[row]) * self.width, int(offsets[row]) * self.width), self.kind)
+        if not self.shards:
+            return None
+        k = 0 if doc_id is None else bisect.bisect_left(self.last, doc_id)
+        while k < len(self.shards):
+            shard = self.shards[k]
+            if shard not in self.open:
+                self.open[shard] = _Shard(self.at, shard)
+            held = self.open[shard]
+            row = int(held.row(pa.array([doc_id], pa.int64()))[0])
+            if row >= 0:
+                store, path = arrow_fs.FileSystem.from_uri(f"{self.at}/{shard}.ids")
+                a, b, width = int(held.offsets[row]), int(held.offsets[row + 1]), np.dtype(held.kind).itemsize
+                with store.open_input_file(path) as f:
+                    return np.frombuffer(f.read_at((b - a) * width, a * width), held.kind)
+            if doc_id is None or self.last[k] > doc_id or self.last[k] == self.last[-1]:
+                return None
+            k += 1  # only shards of null ids end in the least integer without holding it
         return None
 
 

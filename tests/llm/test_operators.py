@@ -68,7 +68,23 @@ def test_token_files(spark, odd, none):
         start += len(ids)
     store = tf.TokenStore(rows, at)
     assert store.get(5).tolist() == [2] and store.get(99) is None and len(store.get(4)) == 5001
+    assert store.get(None).tolist() == [*tk.encode("lost and found again today", add_special_tokens=False).ids, 2] and store.get(-(1 << 63)) is None
     assert tf.token_files(none).count() == 0
+    # every 64-bit integer is an id of its own, and one id may fill several shards
+    edge = spark.createDataFrame([(-(1 << 63), "least"), (None, "none"), ((1 << 63) - 1, "most")] + [(7, f"text {k}") for k in range(400)], "doc_id long, text string")
+    at = fresh(spark, "t")
+    rows = tf.write_token_files(edge, at, shards=4)
+    back = tf.read_token_files(rows, at).collect()
+    assert {x.doc_id for x in back} == {None, -(1 << 63), (1 << 63) - 1, 7} and len(back) == 403 and rows.where("doc_id = 7").select("shard").distinct().count() > 1
+    crc = lambda t: zlib.crc32(np.array([*tk.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted(x.ids_crc32 for x in back if x.doc_id == 7) == sorted(crc(f"text {k}") for k in range(400))
+    assert [x.ids_crc32 for x in sorted(back, key=lambda x: x.start) if x.doc_id != 7] == [crc("none"), crc("least"), crc("most")]
+    store = tf.TokenStore(rows, at)
+    assert [store.get(k).tolist()[:-1] for k in (None, -(1 << 63), (1 << 63) - 1)] == [tk.encode(t, add_special_tokens=False).ids for t in ("none", "least", "most")] and store.get(8) is None and store.get(7)[-1] == 2
+    other = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert tf.parts_at_blanks(tk) and not tf.parts_at_blanks(other)
+    whole, at = tf._Words(other, "<u4"), fresh(spark, "t")
+    assert whole.encode("Two words\nhere") == np.array(other.encode("Two words\nhere", add_special_tokens=False).ids, "<u4").tobytes()
     w, r = tf._words(P.path(tf.VOCABULARY), "<u2"), random.Random(5)
     parts = ["a", "B", " ", "\n", "Ñ", "中", "'s", "The", "́", ".", ",", "...", "<|endoftext|>", "Σ", "İ", "1"]
     for _ in range(1500):
