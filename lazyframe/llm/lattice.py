@@ -4,18 +4,19 @@ In each table random directions take a vector to two blocks of eight numbers, an
 block to a point of the E8 lattice. A vector is entered at its own cell and at the next
 nearest ones, so vectors that lie close on two sides of a border still meet. Vectors
 that share a cell are compared by cosine in double precision, as one matrix product.
+Equal vectors are one class from the start, and only the class's first vector travels.
 """
 
 from __future__ import annotations
 
-import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, components, mixed, partitions, written
+from .common import batch, components, local_forest, mixed, partitions, pieces, removed, work, written
 
 TABLES = 10
 BLOCKS = 2
@@ -77,77 +78,85 @@ class Lattice:
         return out
 
 
-def unit(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of unit vectors in double precision, which rows of ``vectors`` they are): whole, finite, not zero, of the commonest length."""
-    rows = vectors.to_pylist()
-    good = [k for k, v in enumerate(rows) if v and None not in v and all(map(math.isfinite, v)) and any(v)]
-    if not good:
-        return np.zeros((0, 0)), np.zeros(0, np.int64)
-    x = np.array([rows[k] for k in good], np.float64)
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of usable vectors as unit vectors in double precision."""
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # neither over- nor underflow in the squares
-    return x / np.linalg.norm(x, axis=1, keepdims=True), np.array(good)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _linked(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(x @ y.T >= least)
 
 
-def near_vectors(vectors: DataFrame, least: float = COSINE, size: int | None = None, tables: int = TABLES) -> DataFrame:
+@lru_cache(maxsize=4)
+def lattice_of(size: int, tables: int) -> Lattice:
+    return Lattice(size, tables)
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def near_vectors(vectors: DataFrame, least: float = COSINE, tables: int = TABLES) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding).
 
-    Equal vectors count as links like others. A pair that meets in several cells is counted
-    in the cell of the least number only, so counts add up without a table of pairs; for
-    components a cell gives a spanning forest of its links. A cell of more than
-    ``MOST_IN_TASK`` vectors is cut into blocks by hash, and each pair of blocks is compared
-    in a task of its own. Vectors that are null, zero, of another length than the first
-    usable one, or not finite link with nothing. Rows with the same vec_id are one vector,
-    the least of them; a null vec_id gives a row without links. An empty table gives none.
+    Equal vectors count as links like others, but are one class: of each class one vector is
+    entered and compared, with its number of vectors as weight. A pair that meets in several
+    cells is counted in the cell of the least number only, so counts add up without a table
+    of pairs; for components a cell gives a spanning forest of its links. A cell of more than
+    ``MOST_IN_TASK`` classes is cut into blocks by hash, and each pair of blocks is compared
+    in a task of its own. Vectors of different lengths never link; each length has a lattice
+    of its own. Vectors that are null, zero, or hold null or non-finite components link with
+    nothing. Rows with the same vec_id are one vector, the least of them; a null vec_id gives
+    a row without links; other columns are left aside. An empty table gives none. A vector's
+    length is bounded by memory only: a cell holds two blocks of vectors at a time.
     """
     spark = vectors.sparkSession
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    if size is None:
-        first = v.where("vec_id is not null and size(embedding) > 0").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-        size = first[0] if first else 1
-    known = v.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    lattice = Lattice(size, tables)
-    cells = "key long, vec_id long"
-    cell_schema = pa.schema([("key", pa.int64()), ("vec_id", pa.int64())])
-
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
+    known = v.where("vec_id is not null and embedding is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    # two hashes of 64 bits name a class
+    known = written(known.where(finite & F.exists("embedding", lambda x: x != 0)).select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")), "vectors")
+    classes = written(known.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    first = known.join(classes.select(F.col("rep").alias("vec_id"), "n"), "vec_id").select("vec_id", "n", "embedding")
+    cell_schema = pa.schema([("key", pa.int64()), ("size", pa.int32()), ("vec_id", pa.int64())])
+
+    @work("lattice", lattice_of.cache_clear)
     def enter(batches):
-        for x in batches:
-            usable = x.filter(pa.array([e is not None and len(e) == size for e in x.column(1).to_pylist()]))
-            for a in range(0, usable.num_rows, 2000):
-                part = usable.slice(a, 2000)
-                u, rows = unit(part.column(1))
-                if not len(rows):
-                    continue
-                ids = part.column(0).to_numpy(zero_copy_only=False)[rows]
-                keys = lattice.keys(u).reshape(len(u), -1)
-                yield batch(cell_schema, keys.ravel(), np.repeat(ids, keys.shape[1]))
+        for x in pieces(batches, 2000):
+            lengths = np.array([len(e) for e in x.column(1)])
+            for size in np.unique(lengths).tolist():
+                part = x.filter(pa.array(lengths == size))
+                keys = lattice_of(size, tables).keys(unit(_rows(part.column(1)))).reshape(part.num_rows, -1)
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
+                yield batch(cell_schema, keys.ravel(), np.full(len(ids), size, np.int32), ids)
 
     n = partitions(spark, v)
-    entered = written(known.mapInArrow(enter, cells), "entered")
+    entered = written(first.select("vec_id", "embedding").mapInArrow(enter, "key long, size int, vec_id long"), "entered")
     # cells without company are dropped before the vectors travel on
-    sizes = entered.groupBy("key").count().where("count > 1")
-    placed = entered.join(sizes, "key").join(known, "vec_id")
+    sizes = entered.groupBy("key", "size").count().where("count > 1")
+    placed = entered.join(sizes, ["key", "size"]).join(first, "vec_id")
     parts = F.ceil(F.col("count") / F.lit(MOST_IN_TASK / 2)).cast("int")
     mine = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
     split = placed.withColumn("parts", F.when(F.col("count") > MOST_IN_TASK, parts).otherwise(1)).withColumn("mine", mine)
     # block m goes to the pairs (m, k) and (k, m); a cell within the bound has the single pair (0, 0)
-    split = split.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("mine", "k").alias("a"), F.greatest("mine", "k").alias("b"), "mine", "vec_id", "embedding")
+    split = split.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "size", F.least("mine", "k").alias("a"), F.greatest("mine", "k").alias("b"), "mine", "vec_id", "n", "embedding")
 
+    @work("lattice", lattice_of.cache_clear)
     def compare(batches):
         held: list = []
+        results: list = []
         schema = pa.schema([("vec_id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
 
-        def done():
-            key, a, b = held[0][0]
-            ids = np.concatenate([h[1] for h in held])
-            block = np.concatenate([h[2] for h in held])
-            x = np.concatenate([h[3].flatten().to_numpy(zero_copy_only=False) for h in held]).reshape(len(ids), -1)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            keys = None
+        def done() -> None:
+            """The links of the cell in ``held``: weights a vector, and a spanning forest."""
+            key, size, a, b = held[0][0]
+            block, ids, weight = (np.concatenate([h[1].column(c).to_numpy(zero_copy_only=False) for h in held]) for c in (4, 5, 6))
+            x = unit(np.concatenate([_rows(h[1].column(7)) for h in held]))
+            lattice, keys = lattice_of(size, tables), None
+            width = lattice.probes**lattice.blocks
             left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
             counts, us, vs = np.zeros(len(ids), np.int64), [], []
             for s in range(0, len(left), 512):
@@ -160,57 +169,46 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, size: int | None = N
                 for q in range(0, len(i), 20_000):
                     p, r = i[q : q + 20_000], j[q : q + 20_000]
                     earlier = np.zeros(len(p), bool)
-                    width = lattice.probes**lattice.blocks
                     for t in range(0, keys.shape[1], width):
                         kp, kr = keys[p, t : t + width], keys[r, t : t + width]
-                        same = (kp[:, :, None] == kr[:, None, :]) & (kp[:, :, None] < key)
-                        earlier |= same.any((1, 2))
-                    np.add.at(counts, p[~earlier], 1)
-                    np.add.at(counts, r[~earlier], 1)
+                        earlier |= ((kp[:, :, None] == kr[:, None, :]) & (kp[:, :, None] < key)).any((1, 2))
+                    np.add.at(counts, p[~earlier], weight[r[~earlier]])
+                    np.add.at(counts, r[~earlier], weight[p[~earlier]])
                 us.append(ids[i])
                 vs.append(ids[j])
-            return ids, counts, np.concatenate(us) if us else ids[:0], np.concatenate(vs) if vs else ids[:0]
-
-        def out(ids, counts, u, w):
-            from .common import local_forest
-
-            node, root = local_forest(u, w) if len(u) else (u, w)
-            order = np.argsort(node)
-            at = np.searchsorted(node[order], ids)
-            hit = (at < len(node)) & (node[order][np.minimum(at, max(len(node) - 1, 0))] == ids) if len(node) else np.zeros(len(ids), bool)
-            roots = ids.copy()
-            if len(node):
-                roots[hit] = root[order][at[hit]]
-            some = (counts > 0) | (roots != ids)
-            if some.any():
-                results.append((ids[some], counts[some], roots[some]))
-
-        results: list = []
-
-        def ready():
-            if results:
-                yield batch(schema, *(np.concatenate(c) for c in zip(*results, strict=True)))
-                results.clear()
+            if us:
+                node, root = local_forest(np.concatenate(us), np.concatenate(vs))
+                roots = dict(zip(node.tolist(), root.tolist(), strict=True))
+                root = np.array([roots.get(k, k) for k in ids.tolist()], np.int64)
+                some = (counts > 0) | (root != ids)
+                if some.any():
+                    results.append((ids[some], counts[some], root[some]))
 
         for x in batches:
-            cell = np.stack([x.column(k).to_numpy(zero_copy_only=False) for k in range(3)], 1)
+            cell = np.stack([x.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], 1)
             starts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(1)])) if len(cell) else []
             for s, e in zip(starts, [*starts[1:], len(cell)], strict=True):
                 name = tuple(cell[s].tolist())
                 if held and held[0][0] != name:
-                    out(*done())
-                    held = []
-                held.append((name, x.column(4).to_numpy(zero_copy_only=False)[s:e], x.column(3).to_numpy(zero_copy_only=False)[s:e], x.column(5).slice(s, e - s)))
-            yield from ready()
+                    done()
+                    held.clear()
+                held.append((name, x.slice(s, e - s)))
+            if results:
+                yield batch(schema, *(np.concatenate(c) for c in zip(*results, strict=True)))
+                results.clear()
         if held:
-            out(*done())
-        yield from ready()
+            done()
+        if results:
+            yield batch(schema, *(np.concatenate(c) for c in zip(*results, strict=True)))
 
-    dealt = split.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b")
+    dealt = split.repartition(n, "key", "size", "a", "b").sortWithinPartitions("key", "size", "a", "b")
     found = written(dealt.mapInArrow(compare, "vec_id long, n long, root long"), "links")
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    roots = components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "vec_id").withColumnRenamed("root", "component_id")
-    every = v.select("vec_id")
-    out = every.join(counts, "vec_id", "left").join(roots, "vec_id", "left")
+    removed(entered)
+    counts = found.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("n").alias("links"))
+    roots = components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rep")
+    of_class = classes.join(counts, "rep", "left").join(roots, "rep", "left")
+    of_class = written(of_class.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("root", "rep").alias("component_id")), "of-class")
+    # a class that very many vectors share is one row here, and a skewed join's left side can be split
+    out = v.select("vec_id").join(known.select("vec_id", "h1", "h2"), "vec_id", "left").join(of_class, ["h1", "h2"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

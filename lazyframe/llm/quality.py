@@ -2,9 +2,14 @@
 
 Trusted texts (label 1) and unlabelled texts train a small network on measures of form.
 With class prior p the risk is p R(P, +) + max(0, R(U, -) - p R(P, -)); where the second
-part falls below zero the step climbs back instead. The prior comes from the same two
-samples: of all score thresholds the one with the least upper bound for the share of
-unlabelled texts above it by the share of trusted ones (Garg et al., 2021).
+part falls below zero the step climbs back instead. The prior comes from the trusted
+texts and counts over all others: of all score thresholds the one with the least upper
+bound for the share of unlabelled texts above it by the share of trusted ones (Garg et
+al., 2021).
+
+Texts are measured once and the measures kept. Every unlabelled row teaches: in a round
+each task goes on from the common weights with steps on its own rows, beside the trusted
+texts, and the mean of the tasks' weights, by their rows, is common to the next round.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, crc_of_id, texts
+from .common import batch, crc_of_id, pieces, texts, work, written
 from .toxicity import labelled
 
 _CLASSES = np.zeros((256, 8), np.float32)
@@ -79,83 +84,162 @@ def _softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, x)
 
 
-def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, epochs: int, seed: int = 7, size: int = 512) -> Network:
-    """With a prior the non-negative risk, without one plain logistic loss of trusted against unlabelled."""
-    rng = np.random.default_rng(seed)
-    every = np.vstack([pos, unl])
-    d, hidden = every.shape[1], 16
-    net = Network(every.mean(0), every.std(0) + 1e-3, [rng.normal(0, d**-0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, (hidden, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, (hidden, 1)), np.zeros(1)])
-    first, second, t = [np.zeros_like(w) for w in net.weights], [np.zeros_like(w) for w in net.weights], 0
-    steps = max(1, -(-max(len(pos), len(unl)) // size))
-    for epoch in range(epochs):
-        rate = 0.004 * (1 - 0.9 * epoch / epochs)
-        for _ in range(steps):
-            p, u = pos[rng.integers(0, len(pos), size)], unl[rng.integers(0, len(unl), size)]
-            gp, gu = net.logit(p), net.logit(u)
-            if prior is None:
-                grads = [a + b for a, b in zip(net.gradient(p, -_sigmoid(-gp) / size), net.gradient(u, _sigmoid(gu) / size), strict=True)]
-            else:
-                negative = _softplus(gu).mean() - prior * _softplus(gp).mean()
-                back = [a + b for a, b in zip(net.gradient(u, _sigmoid(gu) / size), net.gradient(p, -prior * _sigmoid(gp) / size), strict=True)]
-                if negative >= 0:
-                    grads = [a + b for a, b in zip(net.gradient(p, -prior * _sigmoid(-gp) / size), back, strict=True)]
-                else:
-                    grads = [-b for b in back]
-            t += 1
-            for k, g in enumerate(grads):
-                g = g + 1e-4 * net.weights[k]
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                net.weights[k] = net.weights[k] - rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
+SIZE, HIDDEN, ROWS, LEAST_STEPS = 512, 16, 1 << 15, 60
+
+
+def begun(mean: np.ndarray, scale: np.ndarray, seed: int = 7) -> Network:
+    rng, d = np.random.default_rng(seed), len(mean)
+    return Network(mean, scale, [rng.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, (HIDDEN, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, (HIDDEN, 1)), np.zeros(1)])
+
+
+def gradients(net: Network, p: np.ndarray, u: np.ndarray, prior: float | None) -> list[np.ndarray]:
+    """Of the non-negative risk on trusted ``p`` and unlabelled ``u``; without a prior, of the plain logistic loss of one against the other."""
+    gp, gu = net.logit(p), net.logit(u)
+    if prior is None:
+        return [a + b for a, b in zip(net.gradient(p, -_sigmoid(-gp) / len(p)), net.gradient(u, _sigmoid(gu) / len(u)), strict=True)]
+    back = [a + b for a, b in zip(net.gradient(u, _sigmoid(gu) / len(u)), net.gradient(p, -prior * _sigmoid(gp) / len(p)), strict=True)]
+    if _softplus(gu).mean() - prior * _softplus(gp).mean() >= 0:
+        return [a + b for a, b in zip(net.gradient(p, -prior * _sigmoid(-gp) / len(p)), back, strict=True)]
+    return [-b for b in back]
+
+
+def steps(net: Network, pos: np.ndarray, unl: np.ndarray, prior: float | None, rate: float, rng: np.random.Generator) -> None:
+    """Moves the network by Adam's rule, as many steps as the rows of ``unl`` fill, ``LEAST_STEPS`` at least."""
+    first, second = [np.zeros_like(w) for w in net.weights], [np.zeros_like(w) for w in net.weights]
+    for t in range(1, max(LEAST_STEPS, -(-len(unl) // SIZE)) + 1):
+        grads = gradients(net, pos[rng.integers(0, len(pos), SIZE)], unl[rng.integers(0, len(unl), SIZE)], prior)
+        for k, g in enumerate(grads):
+            g = g + 1e-4 * net.weights[k]
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.999 * second[k] + 0.001 * g * g
+            net.weights[k] = net.weights[k] - rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
+
+
+def _measures(x: pa.RecordBatch) -> np.ndarray:
+    return x.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES).astype(np.float64)
+
+
+def _gathered(batches):
+    """The measures of a task's rows, ``ROWS`` at a time."""
+    held, n = [], 0
+    for x in batches:
+        held.append(_measures(x))
+        n += len(held[-1])
+        if n >= ROWS:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
+def _summed(measured: DataFrame, run) -> list[np.ndarray]:
+    """What ``run`` gives of each task, in an order that doesn't depend on the tasks'."""
+    return [np.array(r) for r in sorted(tuple(r[0]) for r in measured.mapInArrow(run, "x array<double>").collect())]
+
+
+_NUMBERS = pa.schema([("x", pa.list_(pa.float64()))])
+
+
+def trained(measured: DataFrame, pos: np.ndarray, net: Network, prior: float | None, rounds: int) -> Network:
+    """Rounds of steps in every task of ``measured`` (one column of measures) and means of their weights."""
+    shapes = [w.shape for w in net.weights]
+    for k in range(rounds):
+        rate, common = 0.004 * (1 - 0.9 * k / rounds), net.weights
+
+        @work("quality")
+        def run(batches):
+            total, n = 0.0, 0
+            mine = Network(net.mean, net.scale, list(common))
+            for unl in _gathered(batches):
+                # the rows themselves seed their steps, so a task that runs twice gives the same
+                steps(mine, pos, unl, prior, rate, np.random.default_rng([k, len(unl), int(abs(unl).sum() * 1000)]))
+                n += len(unl)
+                total = n * np.concatenate([w.ravel() for w in mine.weights])
+            if n:
+                yield batch(_NUMBERS, [np.concatenate([[n], total])])
+
+        parts = _summed(measured, run)
+        flat = sum(p[1:] for p in parts) / sum(p[0] for p in parts)
+        net = Network(net.mean, net.scale, [w.reshape(s) for w, s in zip(np.split(flat, np.cumsum([int(np.prod(s)) for s in shapes])[:-1]), shapes, strict=True)])
     return net
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1) -> float:
-    """Share of positives among ``unl`` from scores of both: best bin estimation."""
-    cuts = np.unique(np.quantile(pos, np.linspace(0, 0.99, 200)))
-    p = (pos[None, :] >= cuts[:, None]).mean(1)
-    u = (unl[None, :] >= cuts[:, None]).mean(1)
-    slack = np.sqrt(np.log(4 / delta) / 2) * (len(unl) ** -0.5 + len(pos) ** -0.5)
+def estimate_prior(p: np.ndarray, u: np.ndarray, trusted: int, unlabelled: int, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled by best bin estimation, from the shares ``p`` of trusted and ``u`` of
+    unlabelled rows that score at or above some thresholds."""
+    slack = np.sqrt(np.log(4 / delta) / 2) * (unlabelled**-0.5 + trusted**-0.5)
     best = int(np.argmin((u + slack) / p))
     return float(np.clip(u[best] / p[best], 0.02, 0.98))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold: F.Column, most_trusted: int = 15_000, most_unlabelled: int = 15_000, epochs: int = 30) -> tuple[Network | None, float]:
-    """(network, prior) from bounded samples: labelled rows of the fold, at most ``most_trusted``, of which
-    those with label 1 are trusted, and at most ``most_unlabelled`` other rows of the least hash."""
-    spark = docs.sparkSession
+def fit(measured: DataFrame, docs: DataFrame, labels: DataFrame, fold: F.Column, most_trusted: int = 15_000, rounds: int = 8) -> tuple[Network | None, float]:
+    """(network, prior) from the rows of ``measured`` (held_out, x) that aren't held out, all of them, and from
+    at most ``most_trusted`` rows with label 1 of the fold."""
 
+    @work("quality")
     def run(batches):
-        for x in batches:
-            yield batch(pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))]), x.column(0), [form(t) for t in texts(x.column(1))])
+        for x in pieces(batches, 1000):
+            yield batch(_NUMBERS, [form(t) for t in texts(x.column(0))])
 
-    trusted = labelled(docs, labels.where(F.col("quality") == 1), "quality", fold, most_trusted).select("y", "text").mapInArrow(run, "y int, x array<double>").collect()
-    ids = docs.where(F.col("doc_id").isNotNull() & fold).select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id", F.lit("unlabelled")), "doc_id").limit(most_unlabelled).distinct().collect()
-    table = spark.createDataFrame([(r[0],) for r in ids], "doc_id long")
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(table), "doc_id").select(F.lit(0).alias("y"), "text").mapInArrow(run, "y int, x array<double>").collect()
-    if not trusted or not some:
+    trusted = labelled(docs, labels.where(F.col("quality") == 1), "quality", fold, most_trusted).select("text").mapInArrow(run, "x array<double>").collect()
+    own = measured.where("not held_out").select("x")
+
+    @work("quality")
+    def moments(batches):
+        total = np.zeros(1 + 2 * N_FEATURES)
+        for x in _gathered(batches):
+            total += np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
+        yield batch(_NUMBERS, [total])
+
+    n, *sums = np.sum(_summed(own, moments) or [np.zeros(1 + 2 * N_FEATURES)], axis=0)
+    if not trusted or not n:
         return None, 1.0
     # Spark promises no order; sorted rows make the fit repeatable
-    pos, unl = (np.array(sorted(tuple(r[1]) for r in rows)) for rows in (trusted, some))
-    first = _train(pos, unl, None, max(3, epochs // 3))
-    prior = estimate_prior(first.logit(pos), first.logit(unl))
-    return _train(pos, unl, prior, epochs), prior
+    pos = np.array(sorted(tuple(r[0]) for r in trusted))
+    mean = np.array(sums[:N_FEATURES]) / n
+    scale = np.sqrt(np.maximum(np.array(sums[N_FEATURES:]) / n - mean**2, 0)) + 1e-3
+    first = trained(own, pos, begun(mean, scale), None, max(2, rounds // 2))
+    scores = first.logit(pos)
+    cuts = np.unique(np.quantile(scores, np.linspace(0, 0.99, 200)))
+
+    @work("quality")
+    def above(batches):
+        total = np.zeros(len(cuts))
+        for x in _gathered(batches):
+            total += len(x) - np.searchsorted(np.sort(first.logit(x)), cuts, side="left")
+        yield batch(_NUMBERS, [total])
+
+    prior = estimate_prior((scores[None, :] >= cuts[:, None]).mean(1), np.sum(_summed(own, above), axis=0) / n, len(pos), int(n))
+    return trained(own, pos, begun(mean, scale), prior, rounds), prior
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row's whole text.
 
-    Labels teach only where crc32(doc_id) mod 5 isn't 0. Null texts count as empty and are
+    Labels teach only where crc32(doc_id) mod 5 isn't 0, at most 15,000 of them; all other
+    rows of that fold are unlabelled and teach as such. Null texts count as empty and are
     scored; null ids are never held out; repeated rows are scored alike; without trusted
-    labels every score is 0.5; an empty table gives no row; other columns are ignored.
+    labels every score is 0.5; an empty table gives no row; other columns are ignored; a very
+    long text is measured whole. The measures of all rows, 20 numbers each, are kept in the
+    shared folder.
     """
-    net, _ = fit(docs, labels, crc_of_id() % 5 != 0)
+    held_out = F.coalesce(crc_of_id() % 5 == 0, F.lit(False))
+    measure = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("x", pa.list_(pa.float32()))])
 
+    @work("quality")
     def run(batches):
+        for x in pieces(batches, 1000):
+            yield batch(measure, x.column(0), x.column(1), [form(t) for t in texts(x.column(2))])
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
+    measured = written(d.mapInArrow(run, "doc_id long, held_out boolean, x array<float>"), "measures")
+    net, _ = fit(measured, docs, labels, crc_of_id() % 5 != 0)
+
+    @work("quality")
+    def score(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
         for x in batches:
-            f = np.array([form(t) for t in texts(x.column(2))]).reshape(-1, N_FEATURES)
+            f = _measures(x.select([2]))
             yield batch(schema, x.column(0), x.column(1), _sigmoid(net.logit(f)) if net else np.full(len(f), 0.5))
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_of_id() % 5 == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    return measured.mapInArrow(score, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.3).cast("int"))

@@ -254,12 +254,31 @@ def test_toxicity_learns(spark, odd, none, labels):
 
 
 def test_quality(spark, odd, none, labels):
-    from lazyframe.llm.quality import N_FEATURES, estimate_prior, form, score_quality
+    from lazyframe.llm.quality import N_FEATURES, _softplus, begun, estimate_prior, form, gradients, score_quality
 
     assert all(len(form(t)) == N_FEATURES and np.isfinite(form(t)).all() for t in ("", " ", "a", "x\n" * 50))
     rng = np.random.default_rng(0)
     pos, unl = rng.normal(2, 1, 4000), np.concatenate([rng.normal(2, 1, 2800), rng.normal(-3, 1, 1200)])
-    assert abs(estimate_prior(pos, unl) - 0.7) < 0.1
+    cuts = np.quantile(pos, np.linspace(0, 0.99, 200))
+    assert abs(estimate_prior(*((x[None, :] >= cuts[:, None]).mean(1) for x in (pos, unl)), 4000, 4000) - 0.7) < 0.1
+    # the gradient against finite differences of the risk, on either side of zero
+    net, p, u = begun(np.zeros(5), np.ones(5)), rng.normal(0.3, 1, (40, 5)), rng.normal(0, 1, (60, 5))
+    for prior, push in ((0.4, 0.0), (0.9, 6.0)):
+        net.weights[5][:] = push
+
+        def risk():
+            gp, gu = net.logit(p), net.logit(u)
+            negative = _softplus(gu).mean() - prior * _softplus(gp).mean()
+            return prior * _softplus(-gp).mean() + negative if negative >= 0 else -negative
+
+        for w, g in zip(net.weights, gradients(net, p, u, prior), strict=True):
+            for at in list(np.ndindex(w.shape))[::7]:
+                w[at] += 1e-5
+                up = risk()
+                w[at] -= 2e-5
+                down = risk()
+                w[at] += 1e-5
+                assert abs((up - down) / 2e-5 - g[at]) < 1e-6
     assert score_quality(odd, labels).count() == 7 and score_quality(none, labels).count() == 0
     assert [r[0] for r in score_quality(odd, labels.limit(0)).select("score").distinct().collect()] == [0.5]
     words = ["river", "stone", "cloud", "green", "walk", "house", "light"]
@@ -349,6 +368,16 @@ def test_lattice_against_brute_force(spark):
     found = np.array([got[k].n_links for k in range(300)])
     assert (found <= want).all() and found.sum() >= 0.98 * want.sum()
     assert all(got[k].n_links == 0 and got[k].kept for k in (1000, 1001, 1002, 1003, 1004, None))
+    if (found == want).all():
+        root = brute_components(list(range(300)), [(int(a), int(b)) for a, b in zip(*np.nonzero(cos >= 0.9), strict=True) if a < b])
+        assert {k: got[k].component_id for k in range(300)} == root and all(got[k].kept == (root[k] == k) for k in range(300))
+    else:
+        assert all(got[k].component_id <= k and got[k].kept == (got[k].component_id == k) for k in range(300))
+    # classes of equal vectors, and lengths of their own, whichever is the commoner
+    some = [(2000 + k, [1.0, 2.0, 3.0]) for k in range(7)] + [(2100, [1.1, 2.0, 3.0]), (2101, [-1.0, 0.0, 0.0]), (2102, [float("inf"), 1.0, 0.0]), (2103, [float("inf"), 1.0, 0.0]), (2104, [0.0, 0.0, 0.0])] + [(k, r[1]) for k, r in enumerate(rows[:40])]
+    more = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in lattice.near_vectors(spark.createDataFrame(some, "vec_id long, embedding array<float>").withColumn("key", F.lit(1))).collect()}
+    assert all(more[2000 + k] == (7, 2000, k == 0) for k in range(7)) and more[2100] == (7, 2000, False) and all(more[k] == (0, k, True) for k in (2101, 2102, 2103, 2104))
+    assert lattice.near_vectors(v.limit(0)).count() == 0
     before, lattice.MOST_IN_TASK = lattice.MOST_IN_TASK, 8  # blocks of large cells
     try:
         assert {r.vec_id: r.n_links for r in lattice.near_vectors(v).collect()} == {k: r.n_links for k, r in got.items()}
