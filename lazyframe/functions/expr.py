@@ -2,8 +2,9 @@
 
 ``lambda r: r.a > 5`` gets a row whose fields are columns; ``lambda a, b: a * b`` gets the
 columns themselves. ``mean(x)`` and its kin mean an aggregate in ``combine`` and the same
-aggregate over the group in ``select``, ``transform`` and ``subset``. What can't be traced
-is marked by ``by_row`` and runs as a vectorised pandas function.
+aggregate over the group in ``select``, ``transform`` and ``subset``, where it is computed
+once a group and joined to the rows. What can't be traced is marked by ``by_row`` and runs
+as a vectorised pandas function, or, in groups, as a function of the group's vectors.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
-_WINDOW: contextvars.ContextVar[WindowSpec | None] = contextvars.ContextVar("window", default=None)
+_GROUP: contextvars.ContextVar[Captured | None] = contextvars.ContextVar("group", default=None)
 _PROPAGATE: contextvars.ContextVar[bool] = contextvars.ContextVar("propagate", default=False)
 
 
@@ -48,13 +48,33 @@ def quoted(name: str) -> str:
 class Opaque:
     """A function that isn't traced; see ``by_row``."""
 
-    def __init__(self, f: Callable, returns: str):
-        self.f, self.returns = f, returns
+    def __init__(self, f: Callable, returns: str, many: bool = False):
+        self.f, self.returns, self.many = f, returns, many
 
 
-def by_row(f: Callable, returns: str) -> Opaque:
-    """Marks a plain function of values, with its Spark type, to run in pandas batches. It hides the predicate from the scan."""
-    return Opaque(f, returns)
+def by_row(f: Callable, returns: str, many: bool = False) -> Opaque:
+    """Marks a plain function, with the Spark type of its results. It hides the predicate from the scan.
+
+    Of a table it gets the values of a row, in pandas batches. Of a group it gets the group's
+    columns as pandas series: in ``combine`` it gives one value, or with ``many`` any number
+    of them, a row each; in ``select``, ``transform`` and ``subset`` one value for all rows of
+    the group or a value for each.
+    """
+    return Opaque(f, returns, many)
+
+
+class Captured:
+    """Gathers the aggregates of a traced function; each becomes a column of the groups' table."""
+
+    def __init__(self, taken: list[str]):
+        self.taken, self.made = {c.lower() for c in taken}, {}
+
+    def take(self, aggregate: Column) -> Column:
+        k = len(self.made)
+        while (name := f"_agg{k}") in self.taken or name in self.made:
+            k += 1
+        self.made[name] = aggregate
+        return F.col(quoted(name))
 
 
 def call(f, columns: list[Column]) -> Column:
@@ -73,26 +93,22 @@ def call(f, columns: list[Column]) -> Column:
 
 
 @contextlib.contextmanager
-def over(window: WindowSpec | None, propagate: bool = False):
-    """While it holds, aggregates mean aggregates over ``window``."""
-    a, b = _WINDOW.set(window), _PROPAGATE.set(propagate)
+def over(group: Captured | None, propagate: bool = False):
+    """While it holds, aggregates are gathered in ``group`` and stand for its columns."""
+    a, b = _GROUP.set(group), _PROPAGATE.set(propagate)
     try:
         yield
     finally:
-        _WINDOW.reset(a)
+        _GROUP.reset(a)
         _PROPAGATE.reset(b)
 
 
 def _aggregate(make: Callable[[Column], Column], x: Column) -> Column:
-    window = _WINDOW.get()
+    group = _GROUP.get()
     got = make(x)
-    got = got.over(window) if window is not None else got
     if _PROPAGATE.get():  # a missing value makes the whole aggregate missing
-        n, known = F.count(F.lit(1)), F.count(x)
-        if window is not None:
-            n, known = n.over(window), known.over(window)
-        got = F.when(n == known, got)
-    return got
+        got = F.when(F.count(F.lit(1)) == F.count(x), got)
+    return got if group is None else group.take(got)
 
 
 def mean(x: Column) -> Column:
@@ -112,8 +128,8 @@ def maximum(x: Column) -> Column:
 
 
 def nrow(*_: Column) -> Column:
-    window = _WINDOW.get()
-    return F.count(F.lit(1)).over(window) if window is not None else F.count(F.lit(1))
+    group = _GROUP.get()
+    return F.count(F.lit(1)) if group is None else group.take(F.count(F.lit(1)))
 
 
 nrow.label, mean.label, total.label, minimum.label, maximum.label = "nrow", "mean", "sum", "minimum", "maximum"

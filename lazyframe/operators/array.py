@@ -13,10 +13,10 @@ from functools import reduce as fold
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import Opaque, call, quoted
+from ..plans.kept import numbered
 
 _REDUCTIONS = {"sum": F.sum, "min": F.min, "max": F.max, "product": F.product, "and": F.bool_and, "or": F.bool_or}
 
@@ -34,16 +34,8 @@ class NDArray:
     def spark(self) -> DataFrame:
         """Coordinates and values; a table's vector is numbered in the order in which its plan reads."""
         if self._df is None:
-            d = self.table.spark.select(self.column.alias("value"))
-            # a dense index without a single-task window: counts of the partitions give their offsets
-            d = d.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-            counts = d.groupBy("_p").count().collect()  # a number a partition
-            start, at = {}, 0
-            for p, n in sorted((r[0], r[1]) for r in counts):
-                start[p], at = at, at + n
-            starts = F.create_map(*[F.lit(x) for kv in start.items() for x in kv]) if start else None
-            place = (F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + starts[F.col("_p")]) if start else F.lit(0)
-            self._df, self._shape = d.select(place.cast("long").alias("i1"), "value"), (at,)
+            d, n = numbered(self.table.spark.select(self.column.alias("value")), "i1")
+            self._df, self._shape = d.select("i1", "value"), (n,)
         return self._df
 
     @property
@@ -233,8 +225,8 @@ class NDArray:
     def sortslices(self, dims: int, rev: bool = False, by=None, order=None) -> NDArray:
         """Slices along axis ``dims`` in order of their first elements, then of the old place.
 
-        The ranks come from a range exchange of the first elements and the counts of its
-        partitions, not from one task.
+        The ranks come from a range exchange of the first elements, kept in the shared folder,
+        and the counts of its partitions, not from one task.
         """
         if by is not None or order is not None:
             raise ValueError("by and order aren't supported")
@@ -243,17 +235,10 @@ class NDArray:
         first = d.where(" and ".join(f"{a} = 0" for a in self.axes if a != axis) or "true").select(F.col(axis).alias("_old"), "value")
         key = F.col("value").desc() if rev else F.col("value").asc()
         n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = first.repartitionByRange(n, key, F.col("_old")).withColumn("_p", F.spark_partition_id()).persist()
-        try:
-            counts = {r[0]: r[1] for r in dealt.groupBy("_p").count().collect()}
-            start, at = {}, 0
-            for p in sorted(counts):
-                start[p], at = at, at + counts[p]
-            starts = F.create_map(*[F.lit(x) for kv in (start or {0: 0}).items() for x in kv])
-            ranks = dealt.withColumn("_new", starts[F.col("_p")] + F.row_number().over(W.partitionBy("_p").orderBy(key, "_old")) - 1)
-            out = d.join(ranks.select(F.col("_old").alias(axis), "_new"), axis).select(*[F.col("_new").cast("long").alias(a) if a == axis else F.col(a) for a in self.axes], "value")
-        finally:
-            dealt.unpersist()
+        ranks, _ = numbered(first.repartitionByRange(n, key, F.col("_old")).sortWithinPartitions(key, "_old"), "_new")
+        if self.ndims == 1:
+            return NDArray(ranks.select(F.col("_new").alias(axis), "value"), self.shape)
+        out = d.join(ranks.select(F.col("_old").alias(axis), "_new"), axis).select(*[F.col("_new").alias(a) if a == axis else F.col(a) for a in self.axes], "value")
         return NDArray(out, self.shape)
 
     # -- results -----------------------------------------------------------------------------------------

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
 
-from ..functions.expr import AGGREGATES, Opaque, call, label, over, quoted
+from ..functions.expr import AGGREGATES, Captured, Opaque, call, label, over, quoted
 from ..functions.selectors import resolve
+from ..plans.kept import free
 
 
 class GroupedTable:
@@ -65,9 +65,12 @@ class GroupedTable:
         return [(name, F.col(quoted(names[0])) if f is None else call(f, [F.col(quoted(c)) for c in names])) for name, f, names in self._outputs(args, renamecols)]
 
     def combine(self, *args, renamecols: bool = True, keepkeys: bool = True, ungroup: bool = True, propagate_missing: bool = False):
-        """One row a group: partial aggregates before the shuffle, final ones after it."""
+        """One row a group: partial aggregates before the shuffle, final ones after it. Functions marked ``by_row``
+        with ``many`` give a row for each of their results; shorter results and single values are repeated or end in NULL."""
         self._no(keepkeys=(keepkeys, True), ungroup=(ungroup, True))
         outputs = self._outputs(args, renamecols)
+        if any(isinstance(f, Opaque) and f.many for _, f, _ in outputs):
+            return self._many(outputs, propagate_missing)
         if any(isinstance(f, Opaque) for _, f, _ in outputs):
             return self._opaque(outputs)
         with over(None, propagate_missing):
@@ -85,7 +88,7 @@ class GroupedTable:
                 opaque.append(F.pandas_udf(lambda *series, f=f.f: f(*series), f.returns, PandasUDFType.GROUPED_AGG)(*columns).alias(name))
 
         def run(d):
-            keys = [f"_key_{c}" for c in self.keys]
+            keys = free(self.table.names + [n for n, _, _ in outputs], *[f"key_{c}" for c in self.keys])
             out = d.groupBy(*map(quoted, self.keys)).agg(*opaque)
             if native:  # Spark doesn't mix both kinds
                 other = d.groupBy(*[F.col(quoted(c)).alias(k) for c, k in zip(self.keys, keys, strict=True)]).agg(*native)
@@ -98,26 +101,94 @@ class GroupedTable:
         """``f(pandas frame) -> pandas frame`` of each group, for results of any number of rows."""
         return self.table._then(lambda d: d.groupBy(*map(quoted, self.keys)).applyInPandas(f, schema))
 
-    def _windowed(self, args, renamecols: bool, propagate: bool) -> list[tuple[str, Column]]:
-        with over(W.partitionBy(*map(quoted, self.keys)), propagate):
-            return self._columns(args, renamecols)
+    def _many(self, outputs, propagate: bool):
+        """Results of any number of rows; a group must fit a worker's memory."""
+        with over(None, propagate):
+            whole = {n: call(f, [F.col(quoted(c)) for c in names]) for n, f, names in outputs if f is not None and not isinstance(f, Opaque)}
+        opaque = {n: (f, names) for n, f, names in outputs if isinstance(f, Opaque)}
+
+        def run(d: DataFrame) -> DataFrame:
+            keys = [quoted(c) for c in self.keys]
+            kinds = dict(d.dtypes) | (dict(d.groupBy(*keys).agg(*[c.alias(n) for n, c in whole.items()]).dtypes) if whole else {})
+            if whole:
+                d = self._joined(d, whole)
+            kinds |= {n: f.returns for n, (f, _) in opaque.items()}
+            order = [*self.keys, *[n for n, _, _ in outputs if n not in self.keys]]
+
+            def group(frame):
+                import pandas as pd
+
+                made = {n: f.f(*[frame[c].reset_index(drop=True) for c in names]) if names else f.f(len(frame)) for n, (f, names) in opaque.items()}
+                size = max([len(v) for n, v in made.items() if opaque[n][0].many], default=1)
+                many = {n: pd.Series(list(v) if opaque[n][0].many else [v] * size).reindex(range(size)) for n, v in made.items()}
+                return pd.DataFrame({n: many[n] if n in many else pd.Series([frame[n].iloc[0]] * size) for n in order})[order]
+
+            return d.groupBy(*keys).applyInPandas(group, ", ".join(f"{quoted(n)} {kinds[n]}" for n in order))
+
+        return self.table._then(run)
+
+    def _joined(self, d: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
+        """``d`` with aggregates of each row's group. Partial sums go before the groups' exchange; Spark broadcasts the
+        groups' table if it turns out small, and else splits the rows of a key that very many have."""
+        keys = free([*d.columns, *aggregates], *[f"group_{c}" for c in self.keys])
+        groups = d.groupBy(*[F.col(quoted(c)).alias(k) for c, k in zip(self.keys, keys, strict=True)]).agg(*[c.alias(n) for n, c in aggregates.items()])
+        on = [F.col(quoted(c)).eqNullSafe(F.col(quoted(k))) for c, k in zip(self.keys, keys, strict=True)]
+        return d.join(groups, on, "left").drop(*keys)
+
+    def _by_group(self, args, renamecols: bool, propagate: bool, finish):
+        """``finish(frame, {output: column})`` on the rows with what their groups give."""
+        if not self.keys:
+            raise ValueError("groups need a key")
+        outputs, taken = self._outputs(args, renamecols), self.table.names
+        group = Captured([*taken, *[n for n, _, _ in outputs]])
+        with over(group, propagate):
+            made = {n: F.col(quoted(names[0])) if f is None else call(f, [F.col(quoted(c)) for c in names]) for n, f, names in outputs if not isinstance(f, Opaque)}
+        opaque = {n: (f, names) for n, f, names in outputs if isinstance(f, Opaque)}
+        if any(f.many for f, _ in opaque.values()):
+            raise ValueError("a function of any number of results is for combine")
+        temp = dict(zip(opaque, free([*taken, *group.made], *[f"vector{k}" for k in range(len(opaque))]), strict=True))
+
+        def run(d: DataFrame) -> DataFrame:
+            names = d.columns
+            if group.made:
+                d = self._joined(d, group.made)
+            if opaque:
+                kinds = d.dtypes + [(temp[n], f.returns) for n, (f, _) in opaque.items()]
+
+                def vectors(frame):
+                    frame = frame.reset_index(drop=True)
+                    return frame.assign(**{temp[n]: f.f(*[frame[c] for c in columns]) if columns else f.f(len(frame)) for n, (f, columns) in opaque.items()})
+
+                d = d.groupBy(*map(quoted, self.keys)).applyInPandas(vectors, ", ".join(f"{quoted(c)} {t}" for c, t in kinds))
+            return finish(d, names, {n: F.col(quoted(temp[n])) if n in temp else made[n] for n, _, _ in outputs})
+
+        return run
 
     def select(self, *args, renamecols: bool = True, keepkeys: bool = True, ungroup: bool = True, copycols: bool = True, propagate_missing: bool = False):
         """Keys and the chosen or derived columns; as many rows as before."""
         self._no(keepkeys=(keepkeys, True), ungroup=(ungroup, True), copycols=(copycols, True))
-        made = [(n, c) for n, c in self._windowed(args, renamecols, propagate_missing) if n not in self.keys]
-        return self.table._then(lambda d: d.select(*map(quoted, self.keys), *[c.alias(n) for n, c in made]), self.table._rows)
+
+        def finish(d, _, made):
+            return d.select(*map(quoted, self.keys), *[c.alias(n) for n, c in made.items() if n not in self.keys])
+
+        return self.table._then(self._by_group(args, renamecols, propagate_missing, finish), self.table._rows)
 
     def transform(self, *args, renamecols: bool = True, keepkeys: bool = True, ungroup: bool = True, copycols: bool = True, propagate_missing: bool = False):
         """All columns and the derived ones."""
         self._no(keepkeys=(keepkeys, True), ungroup=(ungroup, True), copycols=(copycols, True))
-        made = dict(self._windowed(args, renamecols, propagate_missing))
-        return self.table._then(lambda d: d.withColumns(made), self.table._rows)
+
+        def finish(d, names, made):
+            return d.select(*[made[c].alias(c) if c in made else F.col(quoted(c)) for c in names], *[c.alias(n) for n, c in made.items() if n not in names])
+
+        return self.table._then(self._by_group(args, renamecols, propagate_missing, finish), self.table._rows)
 
     def subset(self, *args, ungroup: bool = True, copycols: bool = True, propagate_missing: bool = False):
         """The rows whose group-aware conditions all hold; a missing condition doesn't."""
         self._no(ungroup=(ungroup, True), copycols=(copycols, True))
-        tests = [c for _, c in self._windowed(args, True, propagate_missing)]
-        names = self.table.names
-        flags = {f"_test_{k}": c for k, c in enumerate(tests)}
-        return self.table._then(lambda d: d.withColumns(flags).where(" and ".join(flags) or "true").select(*map(quoted, names)))
+
+        def finish(d, names, made):
+            for c in made.values():
+                d = d.where(c)
+            return d.select(*map(quoted, names))
+
+        return self.table._then(self._by_group(args, True, propagate_missing, finish))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import Opaque, Row, call, quoted
 from ..functions.selectors import resolve
+from ..plans.kept import free
 from ..plans.sampling import CACHE, take_sample
 
 FORMATS = ("csv", "parquet", "arrow")
@@ -111,23 +112,34 @@ class Table:
         """Fails when computed if a value is missing; else the columns are free of NULL by schema."""
         return self._then(lambda d: d.select([F.coalesce(F.col(quoted(c)), F.raise_error(F.lit(f"missing value in {c}")).cast(t)).alias(c) for c, t in d.dtypes]), self._rows)
 
-    def _ranked(self, d: DataFrame, names: list[str], order: str | None) -> DataFrame:
-        """With ``_nth``: the number of the row among those equal in ``names``, in the given or the read order."""
+    def _ranked(self, d: DataFrame, names: list[str], order: str | None) -> tuple[DataFrame, str]:
+        """With a column, whose name comes along: the number of the row among those equal in ``names``, in the given or the read order."""
+        nth, rid = free(d.columns, "nth", "rid")
         if order is None:
-            d, order = d.withColumn("_rid", F.monotonically_increasing_id()), "_rid"
-        return d.withColumn("_nth", F.row_number().over(W.partitionBy(*map(quoted, names)).orderBy(quoted(order))))
+            d, order = d.withColumn(rid, F.monotonically_increasing_id()), rid
+        return d.withColumn(nth, F.row_number().over(W.partitionBy(*map(quoted, names)).orderBy(quoted(order)))), quoted(nth)
 
     def unique(self, selector=None, order: str | None = None, view: bool = False) -> Table:
         """Distinct rows, or the first of the rows that are equal in the columns."""
         names = self._plain(selector, view)
         if names == self.names:
             return self._then(lambda d: d.distinct())
-        return self._then(lambda d: self._ranked(d, names, order).where("_nth = 1").select(*map(quoted, self.names)))
+
+        def first(d: DataFrame) -> DataFrame:
+            d, nth = self._ranked(d, names, order)
+            return d.where(f"{nth} = 1").select(*map(quoted, self.names))
+
+        return self._then(first)
 
     def nonunique(self, selector=None, order: str | None = None) -> Table:
         """The table with a column ``nonunique``: true for the second and later of equal rows."""
         names = self._plain(selector, False)
-        return self._then(lambda d: self._ranked(d, names, order).withColumn("nonunique", F.col("_nth") > 1).select(*map(quoted, self.names), "nonunique"))
+
+        def flagged(d: DataFrame) -> DataFrame:
+            d, nth = self._ranked(d, names, order)
+            return d.select(*map(quoted, self.names), (F.col(nth) > 1).alias("nonunique"))
+
+        return self._then(flagged)
 
     def _plain(self, selector, view: bool) -> list[str]:
         if view:

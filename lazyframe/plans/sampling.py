@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import current
+from .kept import free
 
 
 def sample_size(rows: int, rate: int | None = None) -> int:
@@ -31,7 +32,16 @@ def take_sample(df: DataFrame, rows: int | None = None, rate: int | None = None,
     if shuffled:
         return df.limit(n), rate or c.sample_rate
     plain = [x for x, t in df.dtypes if not t.startswith("map")]
-    return df.orderBy(F.xxhash64(*[F.col(f"`{x}`") for x in plain], F.lit(c.seed)), F.rand(c.seed)).limit(n), rate or c.sample_rate
+    name = free(df.columns, "hash")[0]
+    d = df.withColumn(name, F.xxhash64(*[F.col(f"`{x}`") for x in plain], F.lit(c.seed)))
+    # all rows below a threshold that surely isn't too high, and of those just above it as many as are missing
+    off = 6 * math.sqrt(n) / rows
+    low, high = (int(-(1 << 63) + min(max(n / rows + s, 0.0), 1.0) * ((1 << 64) - 1)) for s in (-off, off))
+    below, between = F.col(name) < low, (F.col(name) >= low) & (F.col(name) <= high)
+    surely, more = (x or 0 for x in d.agg(F.sum(below.cast("long")), F.sum(between.cast("long"))).first())
+    if surely > n or surely + more < n:  # very many equal rows share their hashes
+        return d.orderBy(name, F.rand(c.seed)).limit(n).drop(name), rate or c.sample_rate
+    return d.where(below).unionByName(d.where(between).orderBy(name, F.rand(c.seed)).limit(n - surely)).drop(name), rate or c.sample_rate
 
 
 @dataclass

@@ -9,9 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.expr import fdiv, maximum, mean, minimum, normal_cdf, nrow, total
+from .functions.expr import by_row, fdiv, maximum, mean, minimum, normal_cdf, nrow, round_even, total
 from .functions.selectors import Between, Cols
-from .operators.array import fill
+from .operators.array import collect_range, fill
 from .operators.offload import offloaded
 from .operators.table import Table
 from .plans.sampling import sample_size, take_sample
@@ -184,7 +184,7 @@ def group_subset_ge_mean(spark, d):
 @query("SELECT count(*) AS n FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)")
 def group_length(spark, d):
     g = _t(spark, d, "lineitem").groupby(["l_returnflag", "l_linestatus"])
-    return g.table.spark.select(*g.keys).distinct().agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(len(g),)], "n long")
 
 
 @query("SELECT sum(l_quantity * 2 + 1) AS value FROM lineitem")
@@ -299,4 +299,130 @@ def array_getindex(spark, d):
     return from_numpy(spark, np.array([[0.5, 1.5], [1.0, 2.5]]))[:, 1].spark
 
 
+@query("SELECT row_number() OVER (ORDER BY l_extendedprice) - 1 AS i1, l_extendedprice AS value FROM lineitem")
+def array_sort_large(spark, d):
+    return _t(spark, d, "lineitem")[:, "l_extendedprice"].sort().spark
+
+
+@query("SELECT row_number() OVER (ORDER BY c_mktsegment, c_acctbal) - 1 AS i1, c_acctbal AS value FROM customer")
+def sort_order(spark, d):
+    return _t(spark, d, "customer").sort(["c_mktsegment", "c_acctbal"])[:, "c_acctbal"].spark
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag, round(l_quantity - avg(l_quantity) OVER (PARTITION BY l_returnflag), 6) AS off FROM lineitem")
+def group_select_vectors(spark, d):
+    f = by_row(lambda q: (q - q.mean()).round(6), "double")
+    return _t(spark, d, "lineitem").groupby("l_returnflag").select("l_orderkey", "l_linenumber", ("l_quantity", f, "off")).spark
+
+
+@query("SELECT c_custkey, c_mktsegment, c_acctbal, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) AS place, count(*) OVER (PARTITION BY c_mktsegment) AS nrow FROM customer")
+def group_transform_vectors(spark, d):
+    g = _t(spark, d, "customer")[:, ["c_custkey", "c_mktsegment", "c_acctbal"]].groupby("c_mktsegment")
+    return g.transform(("c_acctbal", by_row(lambda x: x.rank(method="min").astype("int64"), "long"), "place"), "nrow").spark
+
+
+@query("SELECT s_suppkey, s_nationkey, s_acctbal FROM (SELECT *, median(s_acctbal) OVER (PARTITION BY s_nationkey) AS m FROM supplier) WHERE s_acctbal > m")
+def group_subset_vectors(spark, d):
+    t = _t(spark, d, "supplier")[:, ["s_suppkey", "s_nationkey", "s_acctbal"]]
+    return t.groupby("s_nationkey").subset(("s_acctbal", by_row(lambda x: x > x.median(), "boolean"))).spark
+
+
+@query("SELECT c_mktsegment, c_acctbal AS least, n AS nrow FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) AS k, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) WHERE k <= 3")
+def combine_vectors(spark, d):
+    least = by_row(lambda x: sorted(x)[:3], "double", many=True)
+    return _t(spark, d, "customer").groupby("c_mktsegment").combine(("c_acctbal", least, "least"), "nrow").spark
+
+
+@query("SELECT s_nationkey, median(s_acctbal) AS mid, count(*) AS nrow FROM supplier GROUP BY 1")
+def combine_opaque(spark, d):
+    return _t(spark, d, "supplier").groupby("s_nationkey").combine(("s_acctbal", by_row(lambda x: float(np.median(x)), "double"), "mid"), "nrow").spark
+
+
+@query("SELECT s_nationkey, s_suppkey, s_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS k FROM supplier) WHERE k <= 2")
+def group_apply(spark, d):
+    g = _t(spark, d, "supplier")[:, ["s_nationkey", "s_suppkey", "s_acctbal"]].groupby("s_nationkey")
+    return g.apply(lambda p: p.sort_values(["s_acctbal", "s_suppkey"], ascending=[False, True]).head(2), "s_nationkey int, s_suppkey long, s_acctbal double").spark
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 1000 AND s_suppkey % 3 = 0")
+def filter_opaque(spark, d):
+    t = _t(spark, d, "supplier")[:, ["s_suppkey", "s_acctbal"]]
+    return t.filter(by_row(lambda r: bool(r["s_acctbal"] > 1000 and r["s_suppkey"] % 3 == 0), "boolean")).spark
+
+
+@query("""SELECT n_nationkey, lower(n_name) AS low, length(n_name) AS len, substr(n_name, 2, 3) AS part, replace(n_name, 'A', 'x') AS changed,
+contains(n_name, 'AN') AS has, starts_with(n_name, 'A') AS starts, ends_with(n_name, 'A') AS ends, concat(n_name, '-', n_regionkey) AS both, length(n_name) - length(replace(n_name, 'A', '')) AS hits FROM nation""")
+def strings(spark, d):
+    t = _t(spark, d, "nation").with_columns(
+        low=lambda r: F.lower(r.n_name), len=lambda r: F.length(r.n_name).cast("long"), part=lambda r: F.substring(r.n_name, 2, 3), changed=lambda r: F.replace(r.n_name, F.lit("A"), F.lit("x")),
+        has=lambda r: r.n_name.contains("AN"), starts=lambda r: r.n_name.startswith("A"), ends=lambda r: r.n_name.endswith("A"), both=lambda r: F.concat(r.n_name, F.lit("-"), r.n_regionkey.cast("string")),
+        hits=lambda r: F.regexp_count(r.n_name, F.lit("A")).cast("long"),
+    )
+    return t[:, ["n_nationkey", "low", "len", "part", "changed", "has", "starts", "ends", "both", "hits"]].spark
+
+
+@query("SELECT event_id, year(ts) AS y, month(ts) AS m, day(ts) AS dd, minute(ts) AS mi, strftime(ts, '%Y-%m-%d') AS text, CAST(CAST(strptime(strftime(ts, '%Y/%m/%d'), '%Y/%m/%d') AS DATE) AS VARCHAR) AS parsed FROM events")
+def dates(spark, d):
+    t = _t(spark, d, "events").with_columns(
+        y=lambda r: F.year(r.ts).cast("long"), m=lambda r: F.month(r.ts).cast("long"), dd=lambda r: F.day(r.ts).cast("long"), mi=lambda r: F.minute(r.ts).cast("long"),
+        text=lambda r: F.date_format(r.ts, "yyyy-MM-dd"), parsed=lambda r: F.to_date(F.date_format(r.ts, "yyyy/MM/dd"), "yyyy/MM/dd").cast("string"),
+    )
+    return t[:, ["event_id", "y", "m", "dd", "mi", "text", "parsed"]].spark
+
+
+@query("SELECT l_orderkey, l_linenumber, round(sin(l_quantity), 9) AS s, round(cos(l_quantity), 9) AS c, round(asin(l_discount), 9) AS a, round(tan(l_tax), 9) AS t, round(exp(l_tax), 9) AS e, round_even(l_quantity / 2, 0) AS half FROM lineitem")
+def numbers(spark, d):
+    t = _t(spark, d, "lineitem").with_columns(
+        s=lambda r: F.round(F.sin(r.l_quantity), 9), c=lambda r: F.round(F.cos(r.l_quantity), 9), a=lambda r: F.round(F.asin(r.l_discount), 9),
+        t=lambda r: F.round(F.tan(r.l_tax), 9), e=lambda r: F.round(F.exp(r.l_tax), 9), half=lambda r: round_even(r.l_quantity / 2),
+    )
+    return t[:, ["l_orderkey", "l_linenumber", "s", "c", "a", "t", "e", "half"]].spark
+
+
+@query("SELECT s_suppkey, CAST(s_suppkey AS DOUBLE) / 2 AS half, s_suppkey + 1 AS next, s_acctbal AS bal FROM supplier")
+def parse_and_fields(spark, d):
+    t = _t(spark, d, "supplier").with_columns(text=lambda r: r.s_suppkey.cast("string"), pair=lambda r: F.struct(r.s_acctbal.alias("bal"), r.s_name.alias("name")))
+    t = t.with_columns(half=lambda r: r.text.cast("double") / 2, next=lambda r: r.text.cast("long") + 1, bal=lambda r: r.pair["bal"])
+    return t[:, ["s_suppkey", "half", "next", "bal"]].spark
+
+
+@query("SELECT count(*) AS nrow, CAST(3 AS BIGINT) AS ncol, CAST(2 AS BIGINT) AS ndims, 'n_nationkey,n_name,n_regionkey' AS names FROM nation")
+def facts(spark, d):
+    t = _t(spark, d, "nation")[:, ["n_nationkey", "n_name", "n_regionkey"]]
+    return spark.createDataFrame([(t.size[0], t.ncol, t.ndims, ",".join(t.names))], "nrow long, ncol long, ndims long, names string")
+
+
+@query("SELECT count(*) AS n, 'c_mktsegment' AS keys, 'c_custkey' AS rest FROM (SELECT DISTINCT c_mktsegment FROM customer)")
+def group_facts(spark, d):
+    g = _t(spark, d, "customer")[:, ["c_custkey", "c_mktsegment"]].groupby("c_mktsegment")
+    return spark.createDataFrame([(len(g), ",".join(g.groupcols), ",".join(g.valuecols))], "n long, keys string, rest string")
+
+
+@query("SELECT CAST(6 AS BIGINT) AS length, CAST(2 AS BIGINT) AS ndims, 'double' AS eltype, '(2, 3)' AS shape")
+def array_facts(spark, d):
+    a = fill(spark, 1.0, (2, 3))
+    return spark.createDataFrame([(len(a), a.ndims, a.eltype, str(a.shape))], "length long, ndims long, eltype string, shape string")
+
+
+@query("SELECT i AS i1, 2 + 3 * i AS value FROM range(7) t(i)")
+def array_range(spark, d):
+    return collect_range(spark, 2, 20, 3).spark
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 40")
+def computed_in_place(spark, d):
+    t = _t(spark, d, "lineitem").filter(lambda r: r.l_quantity > 40)[:, ["l_orderkey", "l_linenumber"]]
+    return t.compute_inplace().spark
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
+def io_overwrite(spark, d):
+    import uuid
+
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/').removeprefix('file:')}/overwritten-{uuid.uuid4().hex}.parquet"
+    write_table(_t(spark, d, "supplier")[:, ["s_suppkey", "s_acctbal"]].spark, path)
+    write_table(read_table(spark, path).filter(lambda r: r.s_acctbal > 0).spark, path)
+    return read_table(spark, path).spark
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "sample_size"]

@@ -184,3 +184,41 @@ def test_streaming(spark, tmp_path):
     q = write_stream(s, lambda d: Table(d).filter(lambda r: r.id > 6).spark, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_sort_of_many_values(spark):
+    d = spark.range(50_000).select(F.xxhash64("id").alias("x"), (F.col("id") % 7).alias("few")).repartition(9)
+    got = Table(d)[:, "x"].sort().compute()
+    assert len(got) == 50_000 and (np.diff(got) > 0).all()
+    few = Table(d)[:, "few"].sort(rev=True).spark
+    assert few.agg(F.count_distinct("i1"), F.min("i1"), F.max("i1")).first() == (50_000, 0, 49_999)
+    assert (np.diff(Table(d)[:, "few"].sort(rev=True).compute()) <= 0).all()
+
+
+def test_vectors_of_groups(spark):
+    t = Table(spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), (None, 7.0)], "s string, _agg0 double"))
+    off = lf.by_row(lambda v: v - v.mean(), "double")
+    got = t.groupby("s").transform(("_agg0", off, "off"), ("_agg0", lambda v: v - lf.mean(v), "traced")).compute()
+    assert sorted(got["off"]) == sorted(got["traced"]) == [-1.0, 0.0, 0.0, 1.0] and list(got.columns) == ["s", "_agg0", "off", "traced"]
+    assert t.groupby("s").subset(("_agg0", lf.by_row(lambda v: v > v.mean(), "boolean"))).compute()["_agg0"].tolist() == [3.0]
+    many = t.groupby("s").combine(("_agg0", lf.by_row(lambda v: list(v) * 2, "double", many=True), "twice"), ("_agg0", lf.mean, "m")).compute()
+    assert len(many) == 8 and set(many["m"]) == {2.0, 5.0, 7.0}
+    with pytest.raises(ValueError):
+        t.groupby("s").select(("_agg0", lf.by_row(list, "double", many=True)))
+    empty = Table(t.spark.limit(0)).groupby("s")
+    assert empty.transform(("_agg0", off, "off")).nrow == 0 and empty.combine(("_agg0", lf.by_row(list, "double", many=True), "x")).nrow == 0
+
+
+def test_groups_need_no_window(spark):
+    d = Table(spark.range(100).withColumn("g", F.col("id") % 3))
+    plan = d.groupby("g").select(("id", lambda x: x - lf.mean(x), "off")).spark._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_avg" in plan
+
+
+@pytest.mark.parametrize("same", [1, 40, 10_000])
+def test_samples_have_their_exact_size(spark, same):
+    from lazyframe.plans.sampling import sample_size, take_sample
+
+    d = spark.range(40_000).select((F.col("id") / same).cast("long").alias("x"), F.lit(1).alias("hash"))
+    got, rate = take_sample(d)
+    assert got.count() == sample_size(40_000) == 2500 and rate == 16 and got.columns == d.columns
