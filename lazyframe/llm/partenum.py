@@ -341,7 +341,8 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, doubtful: fro
     The ids of those documents are broadcast where a count shows at most ``MOST_BROADCAST``
     (8 MB), else joined by a shuffle.
     """
-    chosen = written(wanted.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("id")), "chosen")
+    first = nodes.groupBy("node").agg(F.min("doc_id").alias("id"))  # before the join, so very many copies are one row
+    chosen = written(first.join(wanted, "node"), "chosen")
     ids = chosen.where("id is not null").select("id").distinct()
     ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
     some = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
