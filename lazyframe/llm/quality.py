@@ -143,6 +143,7 @@ _NUMBERS = pa.schema([("x", pa.list_(pa.float64()))])
 def trained(measured: DataFrame, pos: np.ndarray, net: Network, prior: float | None, rounds: int) -> Network:
     """Rounds of steps in every task of ``measured`` (one column of measures) and means of their weights."""
     shapes = [w.shape for w in net.weights]
+    trusted = measured.sparkSession.sparkContext.broadcast(pos)  # bounded rows; in each round's function they would be sent anew
     for k in range(rounds):
         rate, common = 0.004 * (1 - 0.9 * k / rounds), net.weights
 
@@ -152,7 +153,7 @@ def trained(measured: DataFrame, pos: np.ndarray, net: Network, prior: float | N
             mine = Network(net.mean, net.scale, list(common))
             for unl in _gathered(batches):
                 # the rows themselves seed their steps, so a task that runs twice gives the same
-                steps(mine, pos, unl, prior, rate, np.random.default_rng([k, len(unl), int(abs(unl).sum() * 1000)]))
+                steps(mine, trusted.value, unl, prior, rate, np.random.default_rng([k, len(unl), int(abs(unl).sum() * 1000)]))
                 n += len(unl)
                 total = n * np.concatenate([w.ravel() for w in mine.weights])
             if n:
@@ -161,6 +162,7 @@ def trained(measured: DataFrame, pos: np.ndarray, net: Network, prior: float | N
         parts = _summed(measured, run)
         flat = sum(p[1:] for p in parts) / sum(p[0] for p in parts)
         net = Network(net.mean, net.scale, [w.reshape(s) for w, s in zip(np.split(flat, np.cumsum([int(np.prod(s)) for s in shapes])[:-1]), shapes, strict=True)])
+    trusted.unpersist()
     return net
 
 
