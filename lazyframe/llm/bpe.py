@@ -51,9 +51,10 @@ class Codec:
         self.most_pairs = most_pairs
         self.shorter: dict[int, int] = {}
         whole = {}
+        self.bytes_by_name = {str(i): b for i, b in self.bytes_of.items()}
         for b, i in vocabulary.items():
             try:
-                whole[b.decode()] = (str(i), (i,))
+                whole[b.decode()] = str(i)
             except UnicodeDecodeError:
                 pass
         self.pieces = _Remembered(self, whole, most_pieces)
@@ -142,17 +143,25 @@ class Codec:
                 token = self.prefix(token)
         return out
 
+    def encode_text(self, text: str) -> str:
+        """The ids in decimal, joined by one space."""
+        return " ".join(map(self.pieces.__getitem__, self.find(text)))
+
     def encode(self, text: str) -> tuple[str, list[int]]:
         """The ids joined by one space, and the ids."""
-        got = list(map(self.pieces.__getitem__, self.find(text)))
-        return " ".join([x[0] for x in got]), [i for x in got for i in x[1]]
+        joined = self.encode_text(text)
+        return joined, list(map(int, joined.split()))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decode_text(self, ids: list[str]) -> bytes:
+        """The bytes of ids in decimal."""
+        return b"".join(map(self.bytes_by_name.__getitem__, ids))
+
 
 class _Remembered(dict):
-    """Pieces that are one token stay; others are kept up to a bound."""
+    """The ids of a piece, joined by one space. Pieces that are one token stay; others are kept up to a bound."""
 
     def __init__(self, codec: Codec, whole: dict, most: int):
         super().__init__(whole)
@@ -162,8 +171,7 @@ class _Remembered(dict):
         if len(self) > self.most:
             self.clear()
             self.update(self.whole)
-        ids = tuple(self.codec.encode_piece(piece.encode()))
-        got = self[piece] = (" ".join(map(str, ids)), ids)
+        got = self[piece] = " ".join(map(str, self.codec.encode_piece(piece.encode())))
         return got
 
 
@@ -197,10 +205,11 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         for x in pieces(batches, 1000):
             counts, ids_hash, text_hash = [], [], []
             for text in texts(x.column(1)):
-                joined, ids = coder.encode(text)
+                joined = coder.encode_text(text)
+                ids = joined.split()
                 counts.append(len(ids))
                 ids_hash.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_hash.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+                text_hash.append(hashlib.sha256(coder.decode_text(ids)).hexdigest())
             yield batch(schema, x.column(0).cast(pa.int64()), counts, ids_hash, text_hash)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
