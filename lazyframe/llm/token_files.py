@@ -148,22 +148,30 @@ class _Words(dict):
         super().__init__()
         self.tokenizer, self.kind, self.most, self.letters = tokenizer, kind, most, _byte_letters()
         self.model, self.by_words = tokenizer.model, parts_at_blanks(tokenizer)
+        self.code = {2: "H", 4: "I"}[np.dtype(kind).itemsize]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _word(self, word: str) -> bytes:
         end = word[-1:]
-        core = word[:-1] if (end == "." or end == ",") else word
-        if core.isalpha():
+        ended = end == "." or end == ","
+        core = word[:-1] if ended else word
+        if not core.isalpha():
+            return self._whole(word)
+        if core.isascii():  # the byte alphabet leaves these letters as they are
+            core = core.lower()
+            if core != word:  # the bare word is likely known
+                return self[core] + self[end] if ended else self[core]
+        else:
             try:
                 core.encode("latin-1")
             except UnicodeEncodeError:
                 return self._whole(word)
             core = core.lower().encode().decode("latin-1").translate(self.letters)
-            got = np.array([t.id for t in self.model.tokenize(core)], self.kind).tobytes()
-            return got + self[end] if len(core) and word[-1] in ".," else got
-        return self._whole(word)
+        ids = [t.id for t in self.model.tokenize(core)]
+        got = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return got + self[end] if ended else got
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > self.most:
