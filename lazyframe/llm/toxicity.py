@@ -30,6 +30,26 @@ SHORTEST_FUZZY = 5
 FEATURES = 7
 #: Words and states of the automaton that a worker remembers; beyond it they are forgotten and found anew.
 MOST_WORDS, MOST_STATES = 150_000, 100_000
+#: Longer words are looked at anew each time, so what is remembered stays small.
+LONGEST_KEPT = 40
+#: The state after so many letters of a word is remembered.
+HEAD = 4
+#: Up to so many different hits are looked up one by one in a text, more by one walk over its words.
+FEW = 8
+
+
+class _State(dict):
+    """Letter -> next state, or None where no term is near any longer; made when first asked for.
+
+    ``places``: (trie node, edits spent); ``stem``: the best weight of a stem that ends here;
+    ``end``: (edits, -weight) of the best term that ends here.
+    """
+
+    __slots__ = ("end", "machine", "places", "stem")
+
+    def __missing__(self, c: str) -> _State | None:
+        got = self[c] = self.machine._step(self, c)
+        return got
 
 
 class Machine:
@@ -56,13 +76,14 @@ class Machine:
         self.reach = [0] * len(self.next)  # the most edits that any term below a node allows
         for node in range(len(self.next) - 1, -1, -1):
             self.reach[node] = max([self.ends.get(node, (0, 0))[1], *(self.reach[k] for k in self.next[node].values())])
-        self.known: dict[str, tuple[float, int] | None] = {}
+        self.terms = terms
+        self.known: dict[str, tuple[float, int]] = {}  # of words near a term
+        self.clean: set[str] = set()  # words near no term
         self._begin()
 
     def _begin(self) -> None:
-        self.states: list[tuple] = []
-        self.numbers: dict[tuple, int] = {}
-        self.steps: list[dict[str, int]] = []
+        self.states: dict[tuple, _State] = {}
+        self.heads: dict[str, tuple[_State | None, tuple[float, int] | None]] = {}
         self.start = self._state(self._skipped({0: 0}))
 
     def _skipped(self, found: dict[int, int]) -> dict[int, int]:
@@ -77,73 +98,118 @@ class Machine:
                     todo.append(k)
         return found
 
-    def _state(self, found: dict[int, int]) -> int:
+    def _state(self, found: dict[int, int]) -> _State:
         key = tuple(sorted(found.items()))
-        if key not in self.numbers:
-            self.numbers[key] = len(self.states)
-            self.states.append(key)
-            self.steps.append({})
-        return self.numbers[key]
-
-    def _step(self, state: int, c: str) -> int:
+        state = self.states.get(key)
+        if state is None:
+            state = self.states[key] = _State()
+            state.machine, state.places = self, key
+            state.stem = max((self.stems[node] for node, e in key if e == 0 and node in self.stems), default=None)
+            state.end = min(((e, -self.ends[node][0]) for node, e in key if node in self.ends and e <= self.ends[node][1]), default=None)
+        return state
+
+    def _step(self, state: _State, c: str) -> _State | None:
         found: dict[int, int] = {}
-        for node, e in self.states[state]:
+        for node, e in state.places:
             for letter, k in self.next[node].items():
                 cost = e + (letter != c)
                 if (cost == 0 or cost <= self.reach[k]) and cost < found.get(k, 9):
                     found[k] = cost
             if e + 1 <= self.reach[node] and e + 1 < found.get(node, 9):
                 found[node] = e + 1
-        got = self.steps[state][c] = self._state(self._skipped(found)) if found else -1
-        return got
+        return self._state(self._skipped(found)) if found else None
+
+    def _walk(self, state: _State | None, best: tuple[float, int] | None, letters: str) -> tuple[_State | None, tuple[float, int] | None]:
+        """The state after ``letters`` (None: no term is near any longer), and the best stem passed."""
+        if state is not None:
+            for c in letters:
+                state = state[c]
+                if state is None:
+                    break
+                if state.stem is not None and (best is None or state.stem > best[0]):
+                    best = (state.stem, 0)
+        return state, best
 
     def match(self, word: str) -> tuple[float, int] | None:
         """(weight, distance) of the best term, or None."""
-        try:
+        if word in self.known:
             return self.known[word]
-        except KeyError:
-            pass
         if len(self.states) > MOST_STATES:
             self._begin()
-        state, best, stems = self.start, None, self.stems
-        for c in word:
-            to = self.steps[state].get(c)
-            if to is None:
-                to = self._step(state, c)
-            if to < 0:
-                state = -1
-                break
-            state = to
-            if stems:
-                for node, e in self.states[state]:
-                    if e == 0 and node in stems and (best is None or stems[node] > best[0]):
-                        best = (stems[node], 0)
-        if state >= 0:
-            for node, e in self.states[state]:
-                if node in self.ends and e <= self.ends[node][1]:
-                    weight = self.ends[node][0]
-                    if best is None or (e, -weight) < (best[1], -best[0]):
-                        best = (weight, e)
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        self.known[word] = best
+        head = word[:HEAD]
+        at = self.heads.get(head)
+        if at is None:
+            at = self._walk(self.start, None, head)
+            if len(self.heads) >= MOST_WORDS:
+                self.heads.clear()
+            self.heads[head] = at
+        state, best = at if at[0] is None or len(word) <= HEAD else self._walk(*at, word[HEAD:])
+        if state is not None and state.end is not None:
+            e, weight = state.end[0], -state.end[1]
+            if best is None or (e, -weight) < (best[1], -best[0]):
+                best = (weight, e)
+        if best is not None and len(word) <= LONGEST_KEPT:
+            if len(self.known) >= MOST_WORDS:
+                self.known.clear()
+            self.known[word] = best
         return best
 
+    def matches(self, low: str) -> dict[str, tuple[float, int]]:
+        """word -> (weight, distance) of the different words of a text, in lower case, that are near a term."""
+        out: dict[str, tuple[float, int]] = {}
+        clean = []
+        for word in set(WORD.findall(low)) - self.clean:
+            best = self.match(word)
+            if best is not None:
+                out[word] = best
+            elif len(word) <= LONGEST_KEPT:
+                clean.append(word)
+        if len(self.clean) + len(clean) > MOST_WORDS:
+            self.clean.clear()
+        self.clean.update(clean[:MOST_WORDS])
+        return out
+
+
+_KEPT: list[Machine] = []
+
+
+def _forget() -> None:
+    _KEPT.clear()
+
+
+def machine_of(terms: dict[str, float]) -> Machine:
+    """The worker's machine of these terms, kept from task to task until the worker turns to another operator."""
+    if not _KEPT or _KEPT[0].terms != terms:
+        _KEPT[:] = [Machine(terms)]
+    return _KEPT[0]
+
+
+def _places(low: str, words) -> list[tuple[int, int]]:
+    """(start, end), in order, wherever one of ``words`` stands as a whole word."""
+    if len(words) > FEW:
+        return [m.span() for m in WORD.finditer(low) if m[0] in words]
+    out = []
+    for word in words:
+        start = low.find(word)
+        while start >= 0:
+            end = start + len(word)
+            before, after = low[start - 1 : start], low[end : end + 1]
+            if not (before.isalnum() or before == "_" or after.isalnum() or after == "_"):
+                out.append((start, end))
+            start = low.find(word, end)
+    return sorted(out)
+
 
 def spans(text: str, machine: Machine) -> list[tuple[int, int, float, int, bool]]:
     """(start, end, weight, distance, quoted) of the hits in a text."""
     low = text.lower()
-    words = set(WORD.findall(low))
-    hits = {w: m for w in words if (m := machine.match(w))}
-    if not hits:
-        return []
+    hits = machine.matches(low)
     out = []
-    for m in WORD.finditer(low):
-        if m[0] in hits:
-            left, right = SENTENCE.split(low[max(0, m.start() - WINDOW) : m.start()])[-1], SENTENCE.split(low[m.end() : m.end() + WINDOW])[0]
-            marks = any(c in QUOTES for c in left) and any(c in QUOTES for c in right)
-            told = not REPORTING.isdisjoint(WORD.findall(left)[-3:])
-            out.append((m.start(), m.end(), *hits[m[0]], marks or told))
+    for start, end in _places(low, hits) if hits else ():
+        left, right = SENTENCE.split(low[max(0, start - WINDOW) : start])[-1], SENTENCE.split(low[end : end + WINDOW])[0]
+        marks = any(c in QUOTES for c in left) and any(c in QUOTES for c in right)
+        told = not REPORTING.isdisjoint(WORD.findall(left)[-3:])
+        out.append((start, end, *hits[low[start:end]], marks or told))
     return out
 
 
@@ -172,7 +238,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: F.Column, mos
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(table), "doc_id")
 
 
-@work("toxicity")
+@work("toxicity", _forget)
 def _evidence(batches):
     """A word or a beginning of one, the label, and a sketch of the text that near copies mostly share."""
     schema = pa.schema([("term", pa.string()), ("y", pa.int32()), ("sketch", pa.int64())])
@@ -247,9 +313,9 @@ def train(docs: DataFrame, labels: DataFrame, fold: F.Column, most: int = 30_000
     sample = labelled(docs, labels, "toxic", fold, most).persist()
     terms = learn_lexicon(sample)
 
-    @work("toxicity")
+    @work("toxicity", _forget)
     def run(batches):
-        machine = Machine(terms)
+        machine = machine_of(terms)
         for x in pieces(batches, 1000):
             yield batch(pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))]), x.column(0), [features(t, machine) for t in texts(x.column(1))])
 
@@ -270,9 +336,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_labelled: int = 30_0
     """
     terms, weights = train(docs, labels, crc_of_id() % 4 != 2, most_labelled)
 
-    @work("toxicity")
+    @work("toxicity", _forget)
     def run(batches):
-        machine = Machine(terms)
+        machine = machine_of(terms)
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
         for x in pieces(batches, 1000):
             yield batch(schema, x.column(0), x.column(1), scores(texts(x.column(2)), machine, weights))
@@ -291,9 +357,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     terms, weights = train(docs, labels, crc_of_id() % 4 != 2)
     d, at, width = with_texts(docs)
 
-    @work("toxicity")
+    @work("toxicity", _forget)
     def clean(batches):
-        machine = Machine(terms)
+        machine = machine_of(terms)
         for x in pieces(batches, 1000):
             yield x.filter(pa.array(scores(texts(x.column(at)), machine, weights) < 0.3)).select(list(range(width)))
 
