@@ -113,14 +113,14 @@ def reshard(docs: DataFrame, old_shard: F.Column, old_shards: int, new_shards: i
     cut, and one exchange that carries the texts. No window sees more than one block, which
     holds about ``rows_a_block`` rows of one size class whatever source or copy they come
     from. ``only_affected`` leaves shards that keep just what they have where they are.
-    Null ids are rows like others; identical rows are told apart by their slots only; clashing
+    Null and repeated ids are rows like others, dealt to blocks by their texts too; identical rows are told apart by their slots only; clashing
     columns ``size``, ``shard`` and ``slot`` of ``docs`` are replaced; an empty table writes nothing.
     """
     spark = docs.sparkSession
     d = docs.select(*[c for c in docs.columns if c not in ("size", "shard", "slot")], (F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long") + 8).alias("size"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("_old"))
     rows = d.count()
     buckets = max(8, -(-rows // (old_shards * rows_a_block)))
-    key = F.xxhash64(F.col("doc_id"), F.lit("block"))
+    key = F.xxhash64(F.col("doc_id"), F.col("text").cast("string"), F.lit("block"))  # the text deals out rows that share an id or have none
     # size classes from large to small, then buckets of a hash
     block = (F.lit(64) - F.floor(F.log2(F.col("size").cast("double")))).cast("long") * buckets + F.pmod(key, F.lit(buckets))
     d = d.withColumn("_block", block)

@@ -212,6 +212,29 @@ def test_resharding(spark, odd, none):
     assert reshard.shard_documents(none, 3, 4).count() == 0
 
 
+def test_resharding_of_a_hot_id(spark, tmp_path):
+    from lazyframe.llm import reshard
+
+    # a third of the rows has no id, another third one and the same
+    docs = spark.range(3000).selectExpr("case id % 3 when 0 then null when 1 then 7 else id end as doc_id", "concat(id, repeat('ab', cast(id % 97 as int))) as text")
+    rows = docs.collect()
+    old = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(5)).cast("int")
+    files, plan = reshard.reshard(docs, old, 5, 8, str(tmp_path / "hot"))
+    got = files.withColumn("old", old).collect()
+    assert sorted((x.doc_id or -1, x.text, x.size) for x in got) == sorted((x.doc_id or -1, x.text, len(x.text) + 8) for x in rows)
+    shards = {k: [x for x in got if x.shard == k] for k in range(8)}
+    assert all(sorted(x.slot for x in s) == list(range(len(s))) for s in shards.values())
+    sums = [sum(x.size for x in s) for s in shards.values()]
+    largest, cuts = max(x.size for x in got), sum(len(c) for c in plan.cuts)
+    assert max(sums) - min(sums) <= 2 * cuts * largest and abs(sum(x.size for x in got if x.old != x.shard) - plan.moved()) <= cuts * largest
+    per_old = [sum(x.size for x in got if x.old == k) for k in range(5)]
+    assert plan.moved() == sum(max(0, a - b) for a, b in zip([*per_old, 0, 0, 0], reshard.even_capacities(sum(per_old), 8), strict=True))
+    # where nothing moves, nothing is rewritten
+    even = spark.range(400).selectExpr("id as doc_id", "'abcd' as text")
+    files, plan = reshard.reshard(even, F.col("doc_id") % 4, 4, 4, str(tmp_path / "even"), only_affected=True)
+    assert plan.moved() == 0 and plan.affected() == set() and files.count() == 0
+
+
 def test_toxic_automaton_is_levenshtein():
     from lazyframe.llm.toxicity import Machine, features, spans
 
