@@ -220,5 +220,25 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+SIEVE = 26  # a sieve has 2**26 bits
+
+
+def sieved(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with a boolean column last: false where the long ``column`` isn't in the one column of ``ids``, true where it
+    may be. Null is in nothing.
+
+    However many ids there are, 8 MB are broadcast: a bit for each value of their hash.
+    """
+    bits = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(1 << SIEVE))
+    sieve = ids.dropna().select(F.shiftright(bits, 15).alias("bucket"), bits.bitwiseAND((1 << 15) - 1).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+    bucket, its, may = free(rows, "bucket", "bits", "may")
+    sieve = written(sieve.select(F.col("bucket").alias(bucket), F.col("bits").alias(its)), "sieve")
+    value = F.col(column).cast("long")
+    at = F.pmod(F.xxhash64(value), F.lit(1 << SIEVE))
+    byte = F.conv(F.hex(F.substring(its, (F.shiftright(at, 3).bitwiseAND((1 << 12) - 1) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    there = F.coalesce(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1, F.lit(False)) & value.isNotNull()
+    return rows.withColumn(bucket, F.shiftright(at, 15)).join(F.broadcast(sieve), bucket, "left").withColumn(may, there).select(*rows.columns, may)
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

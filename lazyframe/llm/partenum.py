@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, components, free, mixed, partitions, pieces, removed, texts, work, written
+from .common import batch, components, free, mixed, partitions, pieces, removed, sieved, texts, work, written
 
 WORDS = 5
 CHECK = 0x3C6EF372FE94F82B
@@ -332,20 +332,25 @@ def _verify(batches):
         yield batch(schema, x.column(0).to_numpy(zero_copy_only=False)[good], x.column(1).to_numpy(zero_copy_only=False)[good])
 
 
-MOST_BROADCAST = 1_000_000
+#: Rows of longs. As a hash table a million takes 67 MB in the driver and each executor, so this many take some 8 MB.
+MOST_BROADCAST = 100_000
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, doubtful: frozenset[int]) -> DataFrame:
     """(node, size, sketch, features) of the wanted nodes, from one document of each; no other text is read into a set.
 
-    The ids of those documents are broadcast where a count shows at most ``MOST_BROADCAST``
-    (8 MB), else joined by a shuffle.
+    The ids of those documents are broadcast where a count shows at most ``MOST_BROADCAST``,
+    else joined by a shuffle of the documents that a sieve of the ids leaves.
     """
     first = nodes.groupBy("node").agg(F.min("doc_id").alias("id"))  # before the join, so very many copies are one row
     chosen = written(first.join(wanted, "node"), "chosen")
     ids = chosen.where("id is not null").select("id").distinct()
-    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
-    some = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
+    if ids.count() <= MOST_BROADCAST:
+        some = docs.join(F.broadcast(ids), docs["doc_id"] == ids["id"], "left_semi")
+    else:
+        may = sieved(docs, "doc_id", ids)
+        some = may.where(may.columns[-1]).select(*docs.columns)
+        some = some.join(ids.hint("merge"), some["doc_id"] == ids["id"], "left_semi")
     if not chosen.where("id is null").isEmpty():  # sets that only rows without an id have
         some = some.union(docs.where("doc_id is null"))
     sets = some.select("text").mapInArrow(_maker(doubtful), "node long, size int, sketch binary, features binary").join(chosen.select("node"), "node", "left_semi")
@@ -415,7 +420,7 @@ def _meeting_apart(rows: DataFrame, side: str, names: tuple[str, ...], fits: str
     one, two = (sides.select("f", *[F.col(x).alias(f"{x}_{k}") for x in (side, *bounds)]) for k in "ab")
     met = one.join(two, "f").where(f"{side}_a < {side}_b").where(fits)
     for k in "ab":
-        met = met.drop(*[f"{x}_{k}" for x in bounds]).join(rows.select("f", *[F.col(x).alias(f"{x}_{k}") for x in (side, *names, *bounds)]), ["f", f"{side}_{k}"]).where(fits)
+        met = met.drop(*[f"{x}_{k}" for x in bounds]).join(rows.select("f", *[F.col(x).alias(f"{x}_{k}") for x in (side, *names, *bounds)]).hint("merge"), ["f", f"{side}_{k}"]).where(fits)
     return met
 
 
@@ -453,11 +458,12 @@ def _apart_pairs(sets: DataFrame, at: DataFrame) -> DataFrame:
     # two classes share no more than the smaller one's common features, and meet at the first that both have in front
     fits, here = f"{OVER + UNDER} * least(held_a, held_b) >= {OVER} * (least_a + least_b)", "not arrays_overlap(before_a, before_b)"
     one, two = (first.select("f", *[F.col(x).alias(f"{x}_{k}") for x in ("class", "side", "alone", "held", "least", "before")]) for k in "ab")
-    near = one.join(two.where("alone_b"), "f").where("side_a <> side_b and (not alone_a or class_a < class_b)").where(fits).where(here).select("class_a", "class_b")
+    # fronts are lists that grow as they are unfolded, far beyond what their table's size tells, so they are never broadcast
+    near = one.join(two.where("alone_b").hint("merge"), "f").where("side_a <> side_b and (not alone_a or class_a < class_b)").where(fits).where(here).select("class_a", "class_b")
     more = _meeting_apart(first.where("not alone"), "side", ("class", "before"), fits, held=F.max, least=F.min)
     near = near.union(more.where(here).select("class_a", "class_b"))
     for k in "ab":
-        near = near.join(classes.select(*[F.col(x).alias(f"{x}_{k}") for x in ("class", "best", "rest", "common")]), f"class_{k}")
+        near = near.join(classes.select(*[F.col(x).alias(f"{x}_{k}") for x in ("class", "best", "rest", "common")]).hint("merge"), f"class_{k}")
     near = near.withColumn("both", F.size(F.array_intersect("common_a", "common_b")))
     enough = f"{OVER + UNDER} * both >= {OVER} * "
     near = written(near.where(enough + "(size(common_a) + size(common_b) + rest_a + rest_b)").select("class_a", "class_b", "best_a", "best_b", "both", F.expr("size(common_a) + rest_a").alias("size_a"), F.expr("size(common_b) + rest_b").alias("size_b")), "near")
@@ -539,14 +545,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     An id goes if none of its rows is first; rows without id stay, as nothing names them;
     of rows with the same id and text one stays. The ids that go are broadcast where a count
-    shows that they are few (8 MB at the most), else joined by a shuffle.
+    shows that they are few, else joined by a shuffle of the rows that a sieve of the ids leaves.
     """
     g = written(groups(docs), "groups")
     name = free(docs, "gone")[0]
     gone = g.where("doc_id is not null").groupBy(F.col("doc_id").alias(name)).agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first")).where("first = 0").select(name)
     gone = written(gone, "gone")
-    few = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
-    kept = docs.join(few, docs["doc_id"].cast("long") == few[name], "left_anti")
+    if gone.count() <= MOST_BROADCAST:
+        kept = docs.join(F.broadcast(gone), docs["doc_id"].cast("long") == gone[name], "left_anti")
+    else:
+        may = sieved(docs, "doc_id", gone)
+        some = may.where(may.columns[-1]).select(*docs.columns)
+        kept = may.where(~F.col(may.columns[-1])).select(*docs.columns).union(some.join(gone.hint("merge"), some["doc_id"].cast("long") == gone[name], "left_anti"))
     again = g.where("doc_id is not null").groupBy("doc_id", "fingerprint").count().where("count > 1")
     if again.isEmpty():
         return kept

@@ -374,6 +374,25 @@ def test_partenum_of_texts_that_are_mostly_a_common_passage(spark):
     assert seen and got == brute_components(list(sets), linked)
 
 
+def test_partenum_broadcasts_stay_small(spark, monkeypatch):
+    """Ids beyond the bound go through a sieve of fixed size, and lists are never broadcast by what their table's size tells."""
+    from lazyframe.llm import partenum as pe
+    from lazyframe.llm.common import sieved, written
+
+    ids = spark.range(0, 30_000, 3).select(F.when(F.col("id") > 0, F.col("id")).alias("n"))
+    rows = spark.range(30_000).select("id", F.lit(1).alias("may")).union(spark.createDataFrame([(None, 1)], "id long, may int"))
+    got = sieved(rows, "id", ids)
+    assert got.columns[:2] == ["id", "may"] and got.count() == 30_001
+    may = {r[0] for r in got.where(got.columns[2]).select("id").collect()}
+    assert may >= set(range(3, 30_000, 3)) and None not in may and len(may) < 10_100
+    sides = written(spark.createDataFrame([(1, 1, 1, [1, 2]), (1, 2, 2, [3])], "f int, side long, class long, before array<int>"), "sides")
+    met = pe._meeting_apart(sides, "side", ("class", "before"))
+    assert met._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") >= 2 and met.count() == 1
+    docs = spark.createDataFrame([(k, " ".join(f"w{j + k % 4 * 100}" for j in range(9))) for k in range(12)] + [(None, "of no id at all here"), (3, "one two three")], "doc_id long, text string")
+    monkeypatch.setattr(pe, "MOST_BROADCAST", 0)
+    assert sorted(str(r[0]) for r in pe.one_of_each(docs).select("doc_id").collect()) == ["0", "1", "2", "3", "3", "None"]
+
+
 def test_lattice_against_brute_force(spark):
     from lazyframe.llm import lattice
 
