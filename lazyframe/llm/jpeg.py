@@ -10,7 +10,8 @@ look into a table of all 16-bit beginnings.
 The encoder stores any bytes losslessly: each is one quantised coefficient. A byte b
 becomes the AC value b (from 128 up) or b - 255 (below), whose eight magnitude bits in
 JPEG's coding are b itself; the first coefficient of a block is the DC value b, sent bit
-by bit by refinement scans. Bytes that follow each other lie next to each other in a scan,
+by bit by refinement scans. Chroma has half the resolution, as in ordinary files: 192 bytes
+are two blocks of luma, one over the other, and half a block of each chroma. Bytes that follow each other lie next to each other in a scan,
 and the steps of the quantiser are the largest, so both the file and the picture, which
 shows noise in few tones, are small once packed.
 """
@@ -32,7 +33,7 @@ from .common import batch, pieces, texts, work, written
 
 UNIT = 192
 LOW = 5  # AC coefficients 1 to LOW go in one scan, the others in a first and a refining scan
-WIDEST = 8191  # blocks in a row of the picture; the format's 16-bit width allows no more
+WIDEST = 8190  # blocks in a row of the picture; the format's 16-bit width allows one more, but an even number cuts no unit
 
 
 def _zigzag() -> np.ndarray:
@@ -53,6 +54,12 @@ def _basis() -> np.ndarray:
 BASIS = _basis()
 
 
+#: What chroma adds to a tone, by its sample; green's two parts are summed up in 65536ths.
+_CHROMA = np.arange(-128, 128)
+RED, BLUE = (np.floor(x * _CHROMA + 0.5).astype(np.int16) for x in (1.402, 1.772))
+GREEN_BY_CB, GREEN_BY_CR = np.rint(-0.344136 * 65536 * _CHROMA).astype(np.int32) + 32768, np.rint(-0.714136 * 65536 * _CHROMA).astype(np.int32)
+
+
 class BadJpeg(ValueError):
     """The bytes aren't a progressive JPEG that this decoder knows."""
 
@@ -95,34 +102,40 @@ def encode(payload: bytes, step: int = STEP) -> bytes:
         raise ValueError("the payload must be a positive multiple of 192 bytes")
     wide = min(n, WIDEST)
     tall = -(-n // wide)
+    across = -(-wide // 2)
+    sizes = (2 * tall * wide, tall * across, tall * across)  # blocks of each component
+    blocks = sum(sizes)
     x = np.frombuffer(payload, np.uint8)
-    if wide * tall > n:
-        x = np.concatenate([x, np.zeros((wide * tall - n) * UNIT, np.uint8)])
-        n = wide * tall
-    high, low, dc = (part.reshape(3, n, -1) for part in np.split(x, [3 * n * (63 - LOW), 3 * n * 63]))
+    if blocks * 64 > len(x):
+        x = np.concatenate([x, np.zeros(blocks * 64 - len(x), np.uint8)])
+    high, low, dc = (part.reshape(blocks, -1) for part in np.split(x, [blocks * (63 - LOW), blocks * 63]))
+    of = [slice(end - size, end) for size, end in zip(sizes, np.cumsum(sizes).tolist(), strict=True)]
     parts = [b"\xff\xd8", _segment(0xFE, b"payload %d" % len(payload)), _quant(step)]
-    parts += [_segment(0xC2, struct.pack(">BHHB", 8, tall * 8, wide * 8, 3) + b"".join(bytes([c, 0x11, 0]) for c in (1, 2, 3))), _TABLES]
+    parts += [_segment(0xC2, struct.pack(">BHHB", 8, tall * 16, wide * 8, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])), _TABLES]
     every = [(c, 0, 0) for c in (1, 2, 3)]
-    parts.append(_scan(every, 0, 0, 0, 8, _padded(np.zeros((1, 3 * n), np.uint8)).tobytes()))
-    dc = np.unpackbits(np.ascontiguousarray(dc[:, :, 0].T).reshape(-1, 1), axis=1)
+    # a unit of the scans of all components: four blocks of luma, beyond the picture's edge of zeros, and one of each chroma
+    luma = np.zeros((tall, 2, across, 2), np.uint8)
+    luma.reshape(2 * tall, 2 * across)[:, :wide] = dc[of[0]].reshape(2 * tall, wide)
+    dc = np.hstack([luma.transpose(0, 2, 1, 3).reshape(-1, 4), dc[of[1]], dc[of[2]]])
+    parts.append(_scan(every, 0, 0, 0, 8, _padded(np.zeros((1, dc.size), np.uint8)).tobytes()))
+    dc = np.unpackbits(dc.reshape(-1, 1), axis=1)
     for k, plane in enumerate(_padded(np.ascontiguousarray(dc.T))):
         parts.append(_scan(every, 0, 0, 8 - k, 7 - k, plane.tobytes()))
-    low = np.unpackbits(low[..., None], axis=3)
-    low = _padded(np.concatenate([np.zeros((*low.shape[:3], 1), np.uint8), low], axis=3).reshape(3, -1))
+    low = np.unpackbits(low[..., None], axis=2)
+    low = np.concatenate([np.zeros((*low.shape[:2], 1), np.uint8), low], axis=2)
     first = high >> 1
-    fine = ((high & 1) ^ (high < 128)).reshape(3, n, 63 - LOW)
+    fine = (high & 1) ^ (high < 128)
     for c in range(3):
-        parts.append(_scan([(c + 1, 0, 0)], 1, LOW, 0, 0, low[c].tobytes()))
-        parts.append(_scan([(c + 1, 0, 1)], LOW + 1, 63, 0, 1, first[c].tobytes()))
+        parts.append(_scan([(c + 1, 0, 0)], 1, LOW, 0, 0, _padded(low[of[c]].reshape(1, -1)).tobytes()))
+        parts.append(_scan([(c + 1, 0, 1)], LOW + 1, 63, 0, 1, first[of[c]].tobytes()))
     most = 1 << 14
-    runs = []
-    for a in range(0, n, most):
-        m = min(most, n - a)
-        r = m.bit_length() - 1
-        head = [int(b) for b in f"{r:04b}" + (f"{m - (1 << r):0{r}b}" if r else "")]
-        runs.append(np.hstack([np.tile(np.array(head, np.uint8), (3, 1)), fine[:, a : a + m].reshape(3, -1)]))
-    for c, data in enumerate(_padded(np.hstack(runs) if len(runs) > 1 else runs[0])):
-        parts.append(_scan([(c + 1, 0, 2)], LOW + 1, 63, 1, 0, data.tobytes()))
+    for c in range(3):
+        runs, mine = [], fine[of[c]]
+        for a in range(0, len(mine), most):
+            m = min(most, len(mine) - a)
+            r = m.bit_length() - 1
+            runs += [np.array([int(b) for b in f"{r:04b}" + (f"{m - (1 << r):0{r}b}" if r else "")], np.uint8), mine[a : a + m].ravel()]
+        parts.append(_scan([(c + 1, 0, 2)], LOW + 1, 63, 1, 0, _padded(np.concatenate(runs)[None]).tobytes()))
     return b"".join([*parts, b"\xff\xd9"])
 
 
@@ -226,6 +239,22 @@ def _extended(value, size: int):
     return np.where(value < 1 << (size - 1), value - (1 << size) + 1, value)
 
 
+def _upsampled(x: np.ndarray, h: int, v: int) -> np.ndarray:
+    """Samples at h times the width and v times the height: between two neighbours at three parts of the nearer
+    and one of the farther, with the roundings of the usual decoders; other factors and pictures of two columns repeat."""
+    if h != 2 or v > 2 or x.shape[1] <= 2:
+        x = np.repeat(x, v, axis=0) if v > 1 else x
+        return np.repeat(x, h, axis=1) if h > 1 else x
+    x = x.astype(np.int16)
+    bits, more = (2, (1, 2)) if v == 1 else (4, (8, 7))
+    if v == 2:
+        near = 3 * x
+        x = np.stack([near + np.concatenate([x[:1], x[:-1]]), near + np.concatenate([x[1:], x[-1:]])], 1).reshape(-1, x.shape[1])
+    near = 3 * x
+    left, right = np.concatenate([x[:, :1], x[:, :-1]], 1), np.concatenate([x[:, 1:], x[:, -1:]], 1)
+    return (np.stack([near + left + more[0], near + right + more[1]], 2) >> bits).reshape(len(x), -1).astype(np.uint8)
+
+
 class Picture:
     """Coefficients (per component: blocks down, blocks across, 64 in zigzag order) and what is needed to show them."""
 
@@ -333,9 +362,12 @@ class Picture:
                 # one raw bit a block, in the order of the units
                 widths = [p.shape[1] for p in part]
                 got = bits.many(len(part[0]) * sum(widths)).reshape(-1, sum(widths)).astype(np.int32)
-                for f, p, w, first in zip(flat, part, widths, np.cumsum([0, *widths[:-1]]), strict=True):
+                for c, f, p, w, first in zip(chosen, flat, part, widths, np.cumsum([0, *widths[:-1]]), strict=True):
                     if w == 1 and len(p) == len(f):
                         f[:, 0] |= got[:, first] << low
+                    elif p.size == len(f):  # the same blocks as a view, faster than by their numbers
+                        _, h, v, _ = self.components[c]
+                        f[:, 0].reshape(self.down, v, self.across, h).transpose(0, 2, 1, 3)[:] |= got[:, first : first + w].reshape(self.down, self.across, v, h) << low
                     else:
                         f[p, 0] |= got[:, first : first + w] << low
             elif start == 0:
@@ -449,30 +481,33 @@ class Picture:
                 at += 1
 
     def rgb(self) -> np.ndarray:
-        """(height, width, 3) bytes: transformed, chroma repeated to full resolution, converted."""
+        """(height, width, 3) bytes: transformed, chroma interpolated to full resolution, converted."""
         planes = []
         for (_, h, v, q), x in zip(self.components, self.coefficients, strict=True):
             tall, wide, _ = x.shape
-            s = (x.reshape(-1, 64) * self.quant[q]) @ BASIS + np.float32(128)
-            s = np.clip(s, 0, 255).reshape(tall, wide, 8, 8).transpose(0, 2, 1, 3).reshape(tall * 8, wide * 8)
-            if (h, v) != self.most:
-                s = np.repeat(np.repeat(s, self.most[1] // v, axis=0), self.most[0] // h, axis=1)
-            planes.append(s[: self.height, : self.width])
+            s = (x.reshape(-1, 64) * self.quant[q]) @ BASIS
+            s += np.float32(128.5)  # a half is rounded by cutting off
+            s = np.clip(s, 0, 255, out=s).astype(np.uint8).reshape(tall, wide, 8, 8).transpose(0, 2, 1, 3).reshape(tall * 8, wide * 8)
+            s = s[: -(-self.height * v // self.most[1]), : -(-self.width * h // self.most[0])]
+            planes.append(_upsampled(s, self.most[0] // h, self.most[1] // v)[: self.height, : self.width])
         if len(planes) == 1:
-            planes = [planes[0]] * 3
-        else:
-            y, cb, cr = planes[0], planes[1] - np.float32(128), planes[2] - np.float32(128)
-            planes = [y + np.float32(1.402) * cr, y - np.float32(0.344136) * cb - np.float32(0.714136) * cr, y + np.float32(1.772) * cb]
-        return np.rint(np.clip(np.stack(planes, axis=2), 0, 255)).astype(np.uint8)
+            return np.repeat(planes[0][:, :, None], 3, axis=2)
+        y, cb, cr = planes
+        y = y.astype(np.int16)
+        out = np.empty((*y.shape, 3), np.uint8)
+        for k, more in enumerate((RED[cr], (GREEN_BY_CB[cb] + GREEN_BY_CR[cr]) >> 16, BLUE[cb])):
+            out[:, :, k] = np.clip(y + more, 0, 255)
+        return out
 
     def payload(self) -> bytes:
         """The bytes that ``encode`` stored."""
         n = next((int(c[8:]) for c in self.comments if c.startswith(b"payload ")), None)
         if n is None:
             raise BadJpeg("it stores no payload")
-        x = np.stack([c.reshape(-1, 64) for c in self.coefficients])
+        # blocks beyond the picture's edge only fill its units
+        x = np.concatenate([c[: -(-self.height * v // (8 * self.most[1])), : -(-self.width * h // (8 * self.most[0]))].reshape(-1, 64) for (_, h, v, _), c in zip(self.components, self.coefficients, strict=True)])
         x = np.where(x < 0, x + 255, x).astype(np.uint8)
-        return b"".join(x[:, :, a:b].tobytes() for a, b in ((LOW + 1, 64), (1, LOW + 1), (0, 1)))[:n]
+        return b"".join(x[:, a:b].tobytes() for a, b in ((LOW + 1, 64), (1, LOW + 1), (0, 1)))[:n]
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:

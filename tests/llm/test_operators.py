@@ -139,6 +139,23 @@ def test_jpeg_is_stored_and_reread(spark, odd, monkeypatch):
         assert got[x.doc_id].feature.startswith(f"{x.width}x{x.height}:") and got[x.doc_id].media_bytes == len(media[x.doc_id])
 
 
+@pytest.mark.parametrize("units", [1, 2, 5, 8, 33])
+def test_jpeg_stores_chroma_of_half_the_resolution(spark, tmp_path, units):
+    """What is stored has to be upsampled, and its pictures are those of the JVM's decoder."""
+    from lazyframe.llm import jpeg
+
+    rng = np.random.default_rng(units)
+    # text-like bytes: their high chroma shows whether samples between are interpolated as others do
+    p = rng.integers(97, 123, 192 * units, dtype=np.uint8).tobytes()
+    m = jpeg.encode(p, 1)
+    picture = jpeg.Picture(m)
+    assert picture.most == (2, 2) and [c[1:3] for c in picture.components] == [(2, 2), (1, 1), (1, 1)] and picture.payload() == p
+    (tmp_path / "a.jpg").write_bytes(m)
+    r = spark.read.format("image").load(str(tmp_path / "a.jpg")).select("image.*").first()
+    other = np.frombuffer(bytes(r.data), np.uint8).reshape(r.height, r.width, 3)[:, :, ::-1].astype(int)
+    assert (np.abs(picture.rgb().astype(int) - other) <= 3).mean() > 0.99
+
+
 def test_jpeg_symbol_by_symbol():
     """A spectral-selection and successive-approximation file with zero runs and subsampled chroma."""
     from lazyframe.llm import jpeg
