@@ -71,6 +71,11 @@ class Codec:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
+    def rest(self) -> None:
+        """Lets go of remembered pieces and pairs; the vocabulary stays."""
+        self.pieces.begin()
+        self.fits = {}
+
     def half(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes ``token``; of a single byte, twice itself."""
         got = self.halves.get(token)
@@ -167,10 +172,13 @@ class _Remembered(dict):
         super().__init__(whole)
         self.codec, self.whole, self.most = codec, whole, most + len(whole)
 
+    def begin(self) -> None:
+        self.clear()
+        self.update(self.whole)
+
     def __missing__(self, piece: str):
         if len(self) > self.most:
-            self.clear()
-            self.update(self.whole)
+            self.begin()
         got = self[piece] = " ".join(map(str, self.codec.encode_piece(piece.encode())))
         return got
 
@@ -182,6 +190,12 @@ def _forget() -> None:
     _CODECS.clear()
 
 
+def _rest() -> None:
+    """More workers than tasks live on in turns, so only those at work remember pieces."""
+    for coder in _CODECS.values():
+        coder.rest()
+
+
 def codec(path: str | None = None) -> Codec:
     """The codec of a vocabulary file, made once in a Python worker."""
     path = path or public_tokenizers.path(VOCABULARY)
@@ -198,7 +212,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     rows and other columns are carried or left aside without effect; an empty table gives none.
     """
 
-    @work("bpe", _forget)
+    @work("bpe", _forget, _rest)
     def run(batches):
         coder = codec(path)
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -218,7 +232,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and the ids of every row's whole text as array<int>; nulls as in ``encode_documents``."""
 
-    @work("bpe", _forget)
+    @work("bpe", _forget, _rest)
     def run(batches):
         coder = codec(path)
         for x in pieces(batches, 1000):
@@ -230,7 +244,7 @@ def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
 def decode_ids(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and the decoded bytes of ``ids``; null ids decode to no bytes, an id outside the vocabulary fails."""
 
-    @work("bpe", _forget)
+    @work("bpe", _forget, _rest)
     def run(batches):
         coder = codec(path)
         for x in pieces(batches, 1000):

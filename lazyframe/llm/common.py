@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -102,6 +103,8 @@ def turn_to(name: str, forget: Callable) -> None:
         for clear in _LEFT.values():
             clear()
         _LEFT.clear()
+        gc.collect()  # what was remembered may hold itself in circles
+        give_back()
     _LEFT[name] = forget
 
 
@@ -118,9 +121,9 @@ def give_back() -> None:
         pass
 
 
-def work(name: str, forget: Callable = nothing):
+def work(name: str, forget: Callable = nothing, ended: Callable = nothing):
     """Wraps a function on batches for ``mapInArrow``: as its task begins the worker turns to operator ``name``,
-    and as it ends the worker gives back what the task has left free."""
+    and as it ends the worker calls ``ended`` and gives back what the task has left free."""
 
     def of(run):
         def running(batches):
@@ -128,6 +131,7 @@ def work(name: str, forget: Callable = nothing):
             try:
                 yield from run(batches)
             finally:
+                ended()
                 give_back()
 
         return running

@@ -49,6 +49,26 @@ def test_bpe_is_exact(spark, odd, none):
     assert back == {4: "word " * 5000}
 
 
+def test_bpe_worker_lets_go():
+    """What is remembered goes as a task ends, and the vocabulary too as the worker turns to another operator."""
+    import gc
+    import weakref
+
+    from lazyframe.llm import bpe, common
+
+    common.turn_to("bpe", bpe._forget)
+    whole = len(bpe.codec().pieces.whole)
+    coder = weakref.ref(bpe.codec())
+    gc.disable()
+    try:
+        list(common.work("bpe", bpe._forget, bpe._rest)(lambda _: [bpe.codec().encode_text("unheardofness zyxwvut")])([]))
+        assert len(coder().pieces) == whole and not coder().fits and bpe.codec() is coder()
+        common.turn_to("another", common.nothing)
+        assert coder() is None
+    finally:
+        gc.enable()
+
+
 def test_token_files(spark, odd, none):
     import public_tokenizers as P
     from tokenizers import Tokenizer
