@@ -38,13 +38,17 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, read: Callable[[DataFrame], DataFrame] | None = None, **options: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    Where its rows are packed, ``read`` makes a table's rows of them; as stored they are in ``stored``.
+    """
     spark = df.sparkSession
     at = fresh(spark, name)
     df.write.options(**options).parquet(at)
-    table = spark.read.schema(df.schema).parquet(at)
-    table.written_at = at
+    stored = spark.read.schema(df.schema).parquet(at)
+    table = read(stored) if read else stored
+    table.written_at, table.stored = at, stored
     return table
 
 

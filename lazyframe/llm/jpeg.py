@@ -14,10 +14,13 @@ by bit by refinement scans. Chroma has half the resolution, as in ordinary files
 are two blocks of luma, one over the other, and half a block of each chroma. Bytes that follow each other lie next to each other in a scan,
 and the steps of the quantiser are the largest, so both the file and the picture, which
 shows noise in few tones, are small once packed.
+
+RGB tensors are packed without loss, by their pixels alone, many pictures in a block.
 """
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import re
 import struct
@@ -352,8 +355,10 @@ class Picture:
         order = self.orders.get(tuple(chosen))
         if order is None:
             order = self.orders[tuple(chosen)] = self._order(chosen)
-        flat = [self.coefficients[k].reshape(-1, 64) for k in chosen]
         units = len(order[0])
+        if start == 0 and high and not self.restart:
+            return self._dc_refine(_Bits(data), chosen, order, low)
+        flat = [self.coefficients[k].reshape(-1, 64) for k in chosen]
         step = self.restart or units
         pieces = re.split(rb"\xff[\xd0-\xd7]", data) if self.restart else [data]
         for k, a in enumerate(range(0, units, step)):
@@ -362,14 +367,8 @@ class Picture:
                 # one raw bit a block, in the order of the units
                 widths = [p.shape[1] for p in part]
                 got = bits.many(len(part[0]) * sum(widths)).reshape(-1, sum(widths)).astype(np.int32)
-                for c, f, p, w, first in zip(chosen, flat, part, widths, np.cumsum([0, *widths[:-1]]), strict=True):
-                    if w == 1 and len(p) == len(f):
-                        f[:, 0] |= got[:, first] << low
-                    elif p.size == len(f):  # the same blocks as a view, faster than by their numbers
-                        _, h, v, _ = self.components[c]
-                        f[:, 0].reshape(self.down, v, self.across, h).transpose(0, 2, 1, 3)[:] |= got[:, first : first + w].reshape(self.down, self.across, v, h) << low
-                    else:
-                        f[p, 0] |= got[:, first : first + w] << low
+                for f, p, w, first in zip(flat, part, widths, np.cumsum([0, *widths[:-1]]), strict=True):
+                    f[p, 0] |= got[:, first : first + w] << low
             elif start == 0:
                 self._dc_first(bits, flat, part, [self.dc[t[0]] for t in tables], low)
             elif high:
@@ -377,6 +376,23 @@ class Picture:
             else:
                 self._ac_first(bits, flat[0], part[0].ravel(), self.ac[tables[0][1]], start, end, low)
 
+    def _dc_refine(self, bits, chosen, order, low) -> None:
+        """One raw bit a block, for all units at once."""
+        widths = [p.shape[1] for p in order]
+        got = bits.many(len(order[0]) * sum(widths)).reshape(-1, sum(widths)).astype(np.int32) << low
+        first = 0
+        for c, p, w in zip(chosen, order, widths, strict=True):
+            x, mine = self.coefficients[c], got[:, first : first + w]
+            first += w
+            if p.size < x.size // 64:
+                x.reshape(-1, 64)[p, 0] |= mine
+            elif w == 1:
+                x.reshape(-1, 64)[:, 0] |= mine[:, 0]
+            else:  # the same blocks as a view, faster than by their numbers
+                _, h, v, _ = self.components[c]
+                there = x[:, :, 0].reshape(self.down, v, self.across, h).transpose(0, 2, 1, 3)
+                there |= mine.reshape(there.shape)
+
     @staticmethod
     def _dc_first(bits, flat, part, tables, low) -> None:
         if all(t.single and t.single[1] == 0 for t in tables):
@@ -516,6 +532,68 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return data + b" " * (max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data)), len(data)
 
 
+#: Pixels after which a block of packed pictures is full; it ends with a whole picture.
+BLOCK = 1 << 22
+_HEAD = struct.Struct(">BQ")
+
+
+def _paired(x: np.ndarray) -> np.ndarray:
+    """The pixels with the second row and the third, the fourth and the fifth, and so on, taken by columns: where
+    chroma had half the resolution, such two rows lie between the same two rows of it, so one nearly tells the other."""
+    n = (len(x) - 1) // 2
+    return np.concatenate([x[0], x[1 : 2 * n + 1].reshape(n, 2, x.shape[1]).transpose(0, 2, 1).ravel(), x[2 * n + 1 :].ravel()])
+
+
+def _unpaired(x: np.ndarray, height: int, width: int) -> np.ndarray:
+    n = (height - 1) // 2
+    out = np.empty((height, width), x.dtype)
+    first, pairs, last = np.split(x, [width, (2 * n + 1) * width])
+    out[0] = first
+    out[1 : 2 * n + 1].reshape(n, 2, width)[:] = pairs.reshape(n, width, 2).transpose(0, 2, 1)
+    out[2 * n + 1 :] = last.reshape(-1, width)
+    return out
+
+
+def pack(pictures: list[np.ndarray]) -> bytes:
+    """RGB pictures (height, width, 3 bytes), any at all, without loss: a byte a pixel names one of 255 colours or, as 0, one
+    spelled out beside. Both are sorted by what follows them (bz2), which fits noise of few tones better than repeats do."""
+    colours = []
+    for x in pictures:
+        wide = np.zeros((*x.shape[:2], 4), np.uint8)
+        wide[:, :, :3] = x
+        colours.append(_paired(wide.view("<u4")[:, :, 0]))
+    colours = np.concatenate(colours)
+    # which colours get names may be told by a part of the pixels
+    some, counts = np.unique(colours[:: max(1, len(colours) >> 17)], return_counts=True)
+    named = some[np.argsort(-counts, kind="stable")[:255]]
+    names = np.zeros(1 << 24, np.uint8)
+    names[named] = np.arange(1, len(named) + 1)
+    name = names[colours]
+    bare = [x.view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for x in (named, colours[name == 0])]
+    packed = bz2.compress(name.tobytes())
+    return b"".join([_HEAD.pack(len(named), len(packed)), bare[0], packed, bz2.compress(bare[1])])
+
+
+def unpack(data: bytes, sizes: list[tuple[int, int]]) -> list[np.ndarray]:
+    """The pictures of these (height, width) that ``pack`` packed."""
+    n, size = _HEAD.unpack_from(data)
+    at = _HEAD.size + 3 * n
+    colours = np.zeros((n + 1, 4), np.uint8)
+    colours[1:, :3] = np.frombuffer(data, np.uint8, 3 * n, _HEAD.size).reshape(-1, 3)
+    name = np.frombuffer(bz2.decompress(data[at : at + size]), np.uint8)
+    pixels = colours.view("<u4")[:, 0][name]
+    rest = np.frombuffer(bz2.decompress(data[at + size :]), np.uint8).reshape(-1, 3)
+    wide = np.zeros((len(rest), 4), np.uint8)
+    wide[:, :3] = rest
+    pixels[name == 0] = wide.view("<u4")[:, 0]
+    out, at = [], 0
+    for height, width in sizes:
+        x = _unpaired(pixels[at : at + height * width], height, width)
+        out.append(np.ascontiguousarray(x.view(np.uint8).reshape(height, width, 4)[:, :, :3]))
+        at += height * width
+    return out
+
+
 def decode_column(df: DataFrame, media: str = "media") -> DataFrame:
     """``df`` with a struct ``rgb`` (height, width, data) decoded from a binary column; null where it is null.
 
@@ -535,15 +613,16 @@ def store_texts(docs: DataFrame) -> DataFrame:
     """Stores every row's whole text as a progressive JPEG, reads it back and describes it.
 
     Two tables of the shared folder: the media as encoded, and what is decoded from the media
-    reread, with the RGB tensors; the means come from these reread. Row by row and without a
-    shuffle; memory is bounded by the Arrow batch, cut by bytes through its row count, and one
-    picture. Null texts count as empty (192 blanks); null ids are kept; repeated rows give
+    reread, with the RGB tensors, packed in blocks of rows; the means come from these reread.
+    Row by row and without a shuffle; memory is bounded by the Arrow batch, cut by bytes
+    through its row count, a block and one picture. Null texts count as empty (192 blanks); null ids are kept; repeated rows give
     equal values; an empty table gives none.
     """
     stored = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string()), ("media", pa.binary())])
     decoded = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())])
     digest = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
     described = pa.schema([*list(decoded)[:7], ("feature", pa.string())])
+    blocks = pa.schema([*((x.name, pa.list_(x.type)) for x in list(decoded)[:9]), ("packed", pa.binary())])
 
     @work("jpeg")
     def store(batches):
@@ -556,28 +635,44 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
     @work("jpeg")
     def decode(batches):
+        rows, pictures, pixels = [], [], 0
         for x in pieces(batches, 500):
-            rows = []
             for doc_id, n, sha, media in zip(*(x.column(k).to_pylist() for k in range(4)), strict=True):
                 picture = Picture(media)
                 back, rgb = picture.payload(), picture.rgb()
                 told = hashlib.sha256(back).hexdigest()
                 if told != sha:
                     raise ValueError(f"document {doc_id} isn't read back as stored")
-                rows.append((doc_id, n, len(back), told, zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), rgb.shape[0], rgb.shape[1], rgb.tobytes()))
-            yield batch(decoded, *zip(*rows, strict=True))
+                rows.append((doc_id, n, len(back), told, zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), *rgb.shape[:2]))
+                pictures.append(rgb)
+                pixels += rgb.size // 3
+                if pixels >= BLOCK:
+                    yield batch(blocks, *([list(c)] for c in zip(*rows, strict=True)), [pack(pictures)])
+                    rows, pictures, pixels = [], [], 0
+        if rows:
+            yield batch(blocks, *([list(c)] for c in zip(*rows, strict=True)), [pack(pictures)])
+
+    def unpacked(batches):
+        """(columns but for the tensors, tensors) of each block."""
+        for x in batches:
+            for k in range(x.num_rows):
+                columns = [x.column(c)[k].values for c in range(9)]
+                yield columns, unpack(x.column(9)[k].as_py(), list(zip(*(c.to_pylist() for c in columns[7:]), strict=True)))
+
+    @work("jpeg")
+    def show(batches):
+        for columns, pictures in unpacked(batches):
+            yield batch(decoded, *columns, [x.tobytes() for x in pictures])
 
     @work("jpeg")
     def describe(batches):
-        for x in pieces(batches, 500):
-            features = []
-            for height, width, rgb in zip(*(x.column(k).to_pylist() for k in (7, 8, 9)), strict=True):
-                means = np.frombuffer(rgb, np.uint8).reshape(-1, 3).mean(axis=0, dtype=np.float64)
-                features.append(f"{width}x{height}:" + ",".join(f"{m:.2f}" for m in means))
-            yield batch(described, *(x.column(k) for k in range(7)), features)
+        for columns, pictures in unpacked(batches):
+            means = [x.reshape(-1, 3).mean(axis=0, dtype=np.float64) for x in pictures]
+            yield batch(described, *columns[:7], [f"{x.shape[1]}x{x.shape[0]}:" + ",".join(f"{m:.2f}" for m in mean) for x, mean in zip(pictures, means, strict=True)])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
     media = written(d.mapInArrow(store, "doc_id long, n_bytes long, sha256 string, media binary"), "media", **packed)
-    tensors = written(media.mapInArrow(decode, f"{digest}, height int, width int, rgb binary"), "tensors", **packed)
-    return tensors.mapInArrow(describe, f"{digest}, feature string")
+    lists = ", ".join(f"{name} array<{kind}>" for name, kind in (x.split() for x in f"{digest}, height int, width int".split(", ")))
+    tensors = written(media.mapInArrow(decode, f"{lists}, packed binary"), "tensors", read=lambda t: t.mapInArrow(show, f"{digest}, height int, width int, rgb binary"), **packed)
+    return tensors.stored.mapInArrow(describe, f"{digest}, feature string")

@@ -159,6 +159,31 @@ def test_jpeg_is_stored_and_reread(spark, odd, monkeypatch):
         assert got[x.doc_id].feature.startswith(f"{x.width}x{x.height}:") and got[x.doc_id].media_bytes == len(media[x.doc_id])
 
 
+def test_jpeg_tensors_are_small_and_whole(spark, monkeypatch):
+    """On disk the tensors take well under a byte a pixel of three, and media and tensors together hardly more than the texts."""
+    from lazyframe.llm import jpeg
+
+    rng = np.random.default_rng(4)
+    pictures = [rng.integers(0, most, (h, w, 3), dtype=np.uint8) for most in (2, 256) for h in (1, 2, 3, 4, 16, 33) for w in (1, 2, 7, 16)]
+    for some in (pictures, pictures[:1]):
+        back = jpeg.unpack(jpeg.pack(some), [x.shape[:2] for x in some])
+        assert all(x.shape == y.shape and (x == y).all() for x, y in zip(some, back, strict=True))
+
+    kept, real = {}, jpeg.written
+    monkeypatch.setattr(jpeg, "written", lambda df, name, **how: kept.setdefault(name, real(df, name, **how)))
+    monkeypatch.setattr(jpeg, "BLOCK", 1 << 17)  # several blocks a task
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").coalesce(1)
+    got = {x.doc_id: x for x in jpeg.store_texts(docs).collect()}
+    size = {k: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(t.written_at.removeprefix("file:")) for f in files if f.endswith(".parquet")) for k, t in kept.items()}
+    pixels, text = 0, sum(x.n_bytes for x in got.values())
+    for x in kept["tensors"].collect():
+        rgb = np.frombuffer(bytes(x.rgb), np.uint8).reshape(-1, 3)
+        assert len(rgb) == x.height * x.width and got[x.doc_id].feature == f"{x.width}x{x.height}:" + ",".join(f"{m:.2f}" for m in rgb.mean(axis=0))
+        pixels += len(rgb)
+    assert kept["tensors"].count() == docs.count() == len(got)
+    assert size["tensors"] < 0.65 * pixels and sum(size.values()) < 1.05 * text
+
+
 @pytest.mark.parametrize("units", [1, 2, 5, 8, 33])
 def test_jpeg_stores_chroma_of_half_the_resolution(spark, tmp_path, units):
     """What is stored has to be upsampled, and its pictures are those of the JVM's decoder."""
