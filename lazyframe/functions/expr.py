@@ -4,7 +4,8 @@
 columns themselves. ``mean(x)`` and its kin mean an aggregate in ``combine`` and the same
 aggregate over the group in ``select``, ``transform`` and ``subset``, where it is computed
 once a group and joined to the rows. What can't be traced is marked by ``by_row`` and runs
-as a vectorised pandas function, or, in groups, as a function of the group's vectors.
+as a vectorised pandas function, or, in groups, as a function of the group's vectors, which
+``vectors`` turns into columns where it can.
 """
 
 from __future__ import annotations
@@ -58,24 +59,33 @@ def by_row(f: Callable, returns: str, many: bool = False) -> Opaque:
     Of a table it gets the values of a row, in pandas batches. Of a group it gets the group's
     columns as pandas series: in ``combine`` it gives one value, or with ``many`` any number
     of them, a row each; in ``select``, ``transform`` and ``subset`` one value for all rows of
-    the group or a value for each.
+    the group or a value for each. There it is first tried on stand-ins (see ``vectors``), so
+    it must depend on nothing but its vectors.
     """
     return Opaque(f, returns, many)
 
 
 class Captured:
-    """Gathers the aggregates of a traced function; each becomes a column of the groups' table."""
+    """Gathers the aggregates of a traced function; each becomes a column of the groups' table.
+
+    ``level``: how many such tables are joined to the rows before an aggregate can be computed.
+    """
 
     def __init__(self, taken: list[str]):
-        self.taken, self.made = {c.lower() for c in taken}, {}
+        self.taken, self.made, self.level = {c.lower() for c in taken}, {}, {}
 
-    def take(self, aggregate: Column) -> Column:
+    def take(self, aggregate: Column, level: int = 0) -> Column:
         k = len(self.made)
         while (name := f"_agg{k}") in self.taken or name in self.made:
             k += 1
-        self.made[name] = aggregate
+        self.made[name], self.level[name] = aggregate, level
         return F.col(quoted(name))
 
+    def copy(self) -> Captured:
+        other = Captured(list(self.taken))
+        other.made, other.level = dict(self.made), dict(self.level)
+        return other
+
 
 def call(f, columns: list[Column]) -> Column:
     """``f`` on columns: traced, or as a pandas function."""

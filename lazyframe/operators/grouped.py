@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.pandas.functions import PandasUDFType
 
 from ..functions.expr import AGGREGATES, Captured, Opaque, call, label, over, quoted
 from ..functions.selectors import resolve
+from ..functions.vectors import Placed, traced
 from ..plans.kept import free
 
 
@@ -135,6 +139,73 @@ class GroupedTable:
         on = [F.col(quoted(c)).eqNullSafe(F.col(quoted(k))) for c, k in zip(self.keys, keys, strict=True)]
         return d.join(groups, on, "left").drop(*keys)
 
+    def _placed(self, d: DataFrame, name: str, what: Placed) -> DataFrame:
+        """``d`` with the median of each row's group or the rank of its value there.
+
+        Each group's distinct values are counted, and dealt to tasks by the group and the 1024th of its span in which
+        they lie, so a large group isn't sorted in one task unless its values crowd in one such part.
+        """
+        *keys, value, x, n, low, high, part, less, rows = free([*d.columns, name], *[f"group_{c}" for c in self.keys], "value", "x", "n", "low", "high", "part", "less", "rows")
+        mine, row = [F.col(quoted(k)) for k in keys], [F.col(quoted(c)) for c in self.keys]
+
+        def meet(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+            here = free([*a.columns, *b.columns], *columns)
+            b = b.withColumnsRenamed(dict(zip(columns, here, strict=True)))
+            return a.join(b, [F.col(quoted(p)).eqNullSafe(F.col(quoted(q))) for p, q in zip(columns, here, strict=True)]).drop(*here)
+
+        d = d.withColumn(value, what.value)
+        counts = d.where(F.col(value).isNotNull()).groupBy(*[c.alias(k) for c, k in zip(row, keys, strict=True)], F.col(value).alias(x)).agg(F.count(F.lit(1)).alias(n))
+        counts = meet(counts, counts.groupBy(*mine).agg(F.min(x).alias(low), F.max(x).alias(high)), keys)
+        span = F.col(high) - F.col(low)
+        share = F.when((span > 0) & (span < float("inf")), F.floor((F.col(x) - F.col(low)) / F.when(span > 0, span) * 1024)).otherwise(0)
+        counts = counts.select(*mine, x, F.lit(1).cast("long").alias(n) if what.how == "dense" else n, share.cast("long").alias(part))
+        up = what.ascending
+        before = W.partitionBy(*mine, part).orderBy(F.col(x) if up else F.col(x).desc()).rowsBetween(W.unboundedPreceding, -1)
+        earlier = W.partitionBy(*mine).orderBy(F.col(part) if up else F.col(part).desc()).rowsBetween(W.unboundedPreceding, -1)
+        parts = counts.groupBy(*mine, part).agg(F.sum(n).alias(rows))
+        parts = parts.select(*mine, part, F.coalesce(F.sum(rows).over(earlier), F.lit(0)).alias(rows))
+        counts = meet(counts.withColumn(less, F.coalesce(F.sum(n).over(before), F.lit(0))), parts, [*keys, part])
+        counts = counts.select(*mine, x, n, (F.col(less) + F.col(rows)).alias(less))
+        on = [a.eqNullSafe(b) for a, b in zip(row, mine, strict=True)]
+        if what.how == "median":
+            counts = meet(counts, counts.groupBy(*mine).agg(F.sum(n).alias(rows)), keys)
+            lower, upper = (F.max(F.when(F.col(less) <= F.floor((F.col(rows) - back) / 2), F.col(x))) for back in (1, 0))
+            return d.join(counts.groupBy(*mine).agg(((lower + upper) / 2).alias(name)), on, "left").drop(*keys, value)
+        rank = {"average": F.col(less) + (F.col(n) + 1) / 2, "max": F.col(less) + F.col(n)}.get(what.how, F.col(less) + 1)
+        return d.join(counts.select(*mine, x, rank.cast("double").alias(name)), [*on, F.col(value) == F.col(x)], "left").drop(*keys, value, x)
+
+    def _vectors(self, d: DataFrame, opaque: dict[str, tuple[Opaque, list[str]]]) -> DataFrame:
+        """``d`` with what functions give of each group's vectors. A worker holds these, and the frames of the group in a file."""
+        kinds = d.dtypes + [(n, f.returns) for n, (f, _) in opaque.items()]
+        needed = list(dict.fromkeys(c for _, columns in opaque.values() for c in columns))
+
+        import pandas as pd
+
+        def run(frames):
+            import pickle
+            import tempfile
+
+            with tempfile.TemporaryFile() as file:
+                parts, sizes = [], []
+                for frame in frames:
+                    pickle.dump(frame, file, pickle.HIGHEST_PROTOCOL)
+                    parts.append(frame[needed].copy())
+                    sizes.append(len(frame))
+                whole = pd.concat(parts, ignore_index=True)
+                del parts
+                made = {n: f.f(*[whole[c] for c in columns]) if columns else f.f(len(whole)) for n, (f, columns) in opaque.items()}
+                made = pd.DataFrame(index=whole.index).assign(**made)
+                del whole
+                file.seek(0)
+                at = 0
+                for size in sizes:
+                    frame = pickle.load(file)
+                    yield frame.assign(**{n: made[n].iloc[at : at + size].set_axis(frame.index) for n in opaque})
+                    at += size
+
+        run.__annotations__ = {"frames": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+        return d.groupBy(*map(quoted, self.keys)).applyInPandas(run, ", ".join(f"{quoted(c)} {t}" for c, t in kinds))
+
     def _by_group(self, args, renamecols: bool, propagate: bool, finish):
         """``finish(frame, {output: column})`` on the rows with what their groups give."""
         if not self.keys:
@@ -146,20 +217,24 @@ class GroupedTable:
         opaque = {n: (f, names) for n, f, names in outputs if isinstance(f, Opaque)}
         if any(f.many for f, _ in opaque.values()):
             raise ValueError("a function of any number of results is for combine")
+        kind = dict(self.table.spark.dtypes)
+        for n, (f, names) in list(opaque.items()):
+            if (c := traced(f, [F.col(quoted(c)) for c in names], [kind[c] for c in names], group)) is not None:
+                made[n] = c
+                del opaque[n]
         temp = dict(zip(opaque, free([*taken, *group.made], *[f"vector{k}" for k in range(len(opaque))]), strict=True))
 
         def run(d: DataFrame) -> DataFrame:
             names = d.columns
-            if group.made:
-                d = self._joined(d, group.made)
+            for level in sorted(set(group.level.values())):
+                now = {n: c for n, c in group.made.items() if group.level[n] == level}
+                for n, c in now.items():
+                    if isinstance(c, Placed):
+                        d = self._placed(d, n, c)
+                if whole := {n: c for n, c in now.items() if not isinstance(c, Placed)}:
+                    d = self._joined(d, whole)
             if opaque:
-                kinds = d.dtypes + [(temp[n], f.returns) for n, (f, _) in opaque.items()]
-
-                def vectors(frame):
-                    frame = frame.reset_index(drop=True)
-                    return frame.assign(**{temp[n]: f.f(*[frame[c] for c in columns]) if columns else f.f(len(frame)) for n, (f, columns) in opaque.items()})
-
-                d = d.groupBy(*map(quoted, self.keys)).applyInPandas(vectors, ", ".join(f"{quoted(c)} {t}" for c, t in kinds))
+                d = self._vectors(d, {temp[n]: x for n, x in opaque.items()})
             return finish(d, names, {n: F.col(quoted(temp[n])) if n in temp else made[n] for n, _, _ in outputs})
 
         return run

@@ -222,3 +222,63 @@ def test_samples_have_their_exact_size(spark, same):
     d = spark.range(40_000).select((F.col("id") / same).cast("long").alias("x"), F.lit(1).alias("hash"))
     got, rate = take_sample(d)
     assert got.count() == sample_size(40_000) == 2500 and rate == 16 and got.columns == d.columns
+
+
+def _plan(t):
+    return t.spark._jdf.queryExecution().executedPlan().toString()
+
+
+#: Each is tried as it is, and with the vector's length asked for, which needs real series.
+VECTOR_FUNCTIONS = {
+    "demean": (lambda v: (v - v.mean()).round(6), "double"),
+    "two levels": (lambda v: (v - v.mean()) / (v - v.mean()).abs().max(), "double"),
+    "figures": (lambda v: 1 + v.min() * 2 - v.max() / v.count() + v.sum() + v.std() + v.var(), "double"),
+    "divided": (lambda v: -v / (v * 0) + np.float64(3) * v, "double"),
+    "above": (lambda v: (v > v.median()) | ~(v <= 2) & (v != v.max()), "boolean"),
+    "median": (lambda v: v.median(), "double"),
+    "rank": (lambda v: v.rank(), "double"),
+    "least first": (lambda v: v.rank(method="min").fillna(0) if isinstance(v, list) else v.rank(method="min"), "double"),
+    "greatest first": (lambda v: v.rank(method="max", ascending=False) + v.rank(method="dense"), "double"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(VECTOR_FUNCTIONS))
+def test_traced_vectors_are_those_of_pandas(spark, name):
+    rng = np.random.default_rng(1)
+    rows = [(k, ("a", "b", None)[k % 3], float(x)) for k, x in enumerate(rng.integers(-40, 40, 500) / 8)]
+    rows += [(500, "a", None), (501, "a", math.nan), (502, "lone", 2.5), (503, "none", None), (504, "zero", -0.0), (505, "zero", 0.0), (506, "far", math.inf), (507, "far", 1.0), (508, "far", -3.0), (509, "far", 1e300)]
+    t = Table(spark.createDataFrame(rows, "k long, s string, x double"))
+    f, kind = VECTOR_FUNCTIONS[name]
+    got = t.groupby("s").select("k", ("x", lf.by_row(f, kind), "y"))
+    want = t.groupby("s").select("k", ("x", lf.by_row(lambda v: f(v) if len(v) else v, kind), "y"))
+    assert "FlatMapGroups" in _plan(want) and (name == "least first" or "FlatMapGroups" not in _plan(got))
+    got, want = (dict(zip(p["k"], p["y"], strict=True)) for p in (got.compute(), want.compute()))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12, abs=1e-12, nan_ok=True) for k in got)
+
+
+def test_vectors_that_need_pandas(spark):
+    t = Table(spark.range(60_000).select((F.col("id") % 2).alias("g"), "id", F.col("id").cast("double").alias("x")))
+    calls = iter(range(10**6))
+
+    def caught(v):
+        try:
+            return v.cumsum() * 0 + 1
+        except Exception:
+            return v * 0
+
+    for f, want in [(lambda v: len(v) + v * 0, 30_000), (caught, 1), (lambda v: v * 0 + 7 if isinstance(v, int) or v.size else v, 7), (lambda v: 5.0, 5)]:
+        got = t.groupby("g").transform(("x", lf.by_row(f, "double"), "y"))
+        assert "FlatMapGroups" in _plan(got) and got.spark.select("y").distinct().collect() == [(want,)]
+    assert "FlatMapGroups" in _plan(t.groupby("g").transform(("x", lf.by_row(lambda v: v + next(calls), "double"), "y")))
+    # of the group's frames only the function's vectors are held; the rest keeps its place
+    got = t.groupby("g").transform(("x", lf.by_row(lambda v: v[::-1].reset_index(drop=True) if len(v) else v, "double"), "y"), ([], lf.by_row(lambda n: n, "long"), "n")).spark
+    assert got.where("x + y != 59998 + 2 * g or n != 30000 or x != id").count() == 0 and got.count() == 60_000
+
+
+def test_no_worker_holds_a_group(spark):
+    from lazyframe.queries import QUERIES
+
+    for name in ["group_select_vectors", "group_transform_vectors", "group_subset_vectors"]:
+        d = QUERIES[name](spark, "/root/testdata/sf0.001")
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "Pandas" not in plan and "Python" not in plan and "Arrow" not in plan, name
