@@ -131,16 +131,16 @@ class GroupedTable:
 
         return self.table._then(run)
 
-    def _joined(self, d: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
-        """``d`` with aggregates of each row's group. Partial sums go before the groups' exchange; Spark broadcasts the
+    def _joined(self, d: DataFrame, aggregates: dict[str, Column], source: DataFrame | None = None) -> DataFrame:
+        """``d`` with aggregates of each row's group, computed from ``source``, which has the same rows. Partial sums go before the groups' exchange; Spark broadcasts the
         groups' table if it turns out small, and else splits the rows of a key that very many have."""
         keys = free([*d.columns, *aggregates], *[f"group_{c}" for c in self.keys])
-        groups = d.groupBy(*[F.col(quoted(c)).alias(k) for c, k in zip(self.keys, keys, strict=True)]).agg(*[c.alias(n) for n, c in aggregates.items()])
+        groups = (d if source is None else source).groupBy(*[F.col(quoted(c)).alias(k) for c, k in zip(self.keys, keys, strict=True)]).agg(*[c.alias(n) for n, c in aggregates.items()])
         on = [F.col(quoted(c)).eqNullSafe(F.col(quoted(k))) for c, k in zip(self.keys, keys, strict=True)]
         return d.join(groups, on, "left").drop(*keys)
 
-    def _placed(self, d: DataFrame, name: str, what: Placed) -> DataFrame:
-        """``d`` with the median of each row's group or the rank of its value there.
+    def _placed(self, d: DataFrame, name: str, what: Placed, source: DataFrame) -> DataFrame:
+        """``d`` with the median of each row's group or the rank of its value there, computed from ``source``.
 
         Each group's distinct values are counted, and dealt to tasks by the group and the 1024th of its span in which
         they lie, so a large group isn't sorted in one task unless its values crowd in one such part.
@@ -154,7 +154,7 @@ class GroupedTable:
             return a.join(b, [F.col(quoted(p)).eqNullSafe(F.col(quoted(q))) for p, q in zip(columns, here, strict=True)]).drop(*here)
 
         d = d.withColumn(value, what.value)
-        counts = d.where(F.col(value).isNotNull()).groupBy(*[c.alias(k) for c, k in zip(row, keys, strict=True)], F.col(value).alias(x)).agg(F.count(F.lit(1)).alias(n))
+        counts = source.withColumn(value, what.value).where(F.col(value).isNotNull()).groupBy(*[c.alias(k) for c, k in zip(row, keys, strict=True)], F.col(value).alias(x)).agg(F.count(F.lit(1)).alias(n))
         counts = meet(counts, counts.groupBy(*mine).agg(F.min(x).alias(low), F.max(x).alias(high)), keys)
         span = F.col(high) - F.col(low)
         share = F.when((span > 0) & (span < float("inf")), F.floor((F.col(x) - F.col(low)) / F.when(span > 0, span) * 1024)).otherwise(0)
@@ -227,12 +227,12 @@ class GroupedTable:
         def run(d: DataFrame) -> DataFrame:
             names = d.columns
             for level in sorted(set(group.level.values())):
-                now = {n: c for n, c in group.made.items() if group.level[n] == level}
+                now, source = {n: c for n, c in group.made.items() if group.level[n] == level}, d
                 for n, c in now.items():
                     if isinstance(c, Placed):
-                        d = self._placed(d, n, c)
+                        d = self._placed(d, n, c, source)
                 if whole := {n: c for n, c in now.items() if not isinstance(c, Placed)}:
-                    d = self._joined(d, whole)
+                    d = self._joined(d, whole, source)
             if opaque:
                 d = self._vectors(d, {temp[n]: x for n, x in opaque.items()})
             return finish(d, names, {n: F.col(quoted(temp[n])) if n in temp else made[n] for n, _, _ in outputs})
