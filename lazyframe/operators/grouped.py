@@ -106,7 +106,7 @@ class GroupedTable:
         return self.table._then(lambda d: d.groupBy(*map(quoted, self.keys)).applyInPandas(f, schema))
 
     def _many(self, outputs, propagate: bool):
-        """Results of any number of rows; a group must fit a worker's memory."""
+        """Results of any number of rows; a group's columns that are asked for must fit a worker's memory."""
         with over(None, propagate):
             whole = {n: call(f, [F.col(quoted(c)) for c in names]) for n, f, names in outputs if f is not None and not isinstance(f, Opaque)}
         opaque = {n: (f, names) for n, f, names in outputs if isinstance(f, Opaque)}
@@ -127,7 +127,8 @@ class GroupedTable:
                 many = {n: pd.Series(list(v) if opaque[n][0].many else [v] * size).reindex(range(size)) for n, v in made.items()}
                 return pd.DataFrame({n: many[n] if n in many else pd.Series([frame[n].iloc[0]] * size) for n in order})[order]
 
-            return d.groupBy(*keys).applyInPandas(group, ", ".join(f"{quoted(n)} {kinds[n]}" for n in order))
+            needed = dict.fromkeys([*self.keys, *[n for n in order if n not in opaque], *[c for _, names in opaque.values() for c in names]])
+            return d.select(*map(quoted, needed)).groupBy(*keys).applyInPandas(group, ", ".join(f"{quoted(n)} {kinds[n]}" for n in order))
 
         return self.table._then(run)
 

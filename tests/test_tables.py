@@ -282,3 +282,10 @@ def test_no_worker_holds_a_group(spark):
         d = QUERIES[name](spark, "/root/testdata/sf0.001")
         plan = d._jdf.queryExecution().executedPlan().toString()
         assert "Pandas" not in plan and "Python" not in plan and "Arrow" not in plan, name
+
+
+def test_results_of_groups_read_only_their_columns(spark):
+    t = Table(spark.range(9).select((F.col("id") % 2).alias("g"), "id", F.lit("text").alias("unused")))
+    got = t.groupby("g").combine(("id", lf.by_row(lambda v: sorted(v)[:2], "long", many=True), "least"), "nrow")
+    assert re.search(r"FlatMapGroups.*", _plan(got)) and "unused" not in _plan(got)
+    assert sorted(map(tuple, got.spark.collect())) == [(0, 0, 5), (0, 2, 5), (1, 1, 4), (1, 3, 4)]
